@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -134,5 +134,18 @@ def binaries(array: pa.Array) -> list[bytes]:
     return [x or b"" for x in array.to_pylist()]
 
 
+def portions(texts: list[bytes], most: int = 8 << 20) -> Iterator[list[bytes]]:
+    """The texts of a batch in runs of about so many bytes, each with one text at least."""
+    run, size = [], 0
+    for text in texts:
+        if run and size + len(text) > most:
+            yield run
+            run, size = [], 0
+        run.append(text)
+        size += len(text)
+    if run:
+        yield run
+
+
 def utf8(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary()).view(pa.string())

@@ -142,10 +142,11 @@ def measure(docs: DataFrame, model_path: str, bands: dict[str, Band] = BANDS, te
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         pieces = Pieces(model.value)
         for texts, langs in batches:
-            whole = common.binaries(texts)
-            words = [text.split() for text in whole]
-            pieces.table.admit(words)
-            rows = [judge(*row, pieces, bands) for row in zip(whole, words, langs.to_pylist(), strict=True)]
+            rows, names = [], iter(langs.to_pylist())
+            for portion in common.portions(common.binaries(texts)):
+                words = [text.split() for text in portion]
+                pieces.table.admit(words)
+                rows += [judge(text, ws, next(names), pieces, bands) for text, ws in zip(portion, words, strict=True)]
             yield pa.StructArray.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(arrow), arrow, strict=True)], fields=list(arrow))
 
     language = F.col(lang) if lang in docs.columns else F.lit(None)

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import quality_rules
+from lodestone.llm import quality_rules, trie_bpe
 
 
 def vocabulary(name: str) -> str:
@@ -25,8 +25,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "rules.*")
 
 
+def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = trie_bpe.encode(docs, vocabulary("word_bpe_49k.json"))
+    return encoded.select(
+        "doc_id",
+        F.size("bpe.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("bpe.ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("bpe.decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op5_trie_bpe": op5_trie_bpe,
 }
 
 ORACLES: dict[str, str] = {}
