@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import quality_rules, trie_bpe
+from lodestone.llm import nbsvm, packing, quality_rules, trie_bpe
 
 
 def vocabulary(name: str) -> str:
@@ -25,6 +25,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "rules.*")
 
 
+def held_out(column: str = "doc_id") -> F.Column:
+    """The fifth of the ids that no fit may learn from."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
+
+
+def op4_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = nbsvm.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return nbsvm.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = trie_bpe.encode(docs, vocabulary("word_bpe_49k.json"))
@@ -36,9 +47,17 @@ def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = packing.pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_nbsvm": op4_nbsvm,
     "op5_trie_bpe": op5_trie_bpe,
+    "op7_packing": op7_packing,
 }
 
 ORACLES: dict[str, str] = {}
