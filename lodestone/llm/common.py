@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words that one generation of a worker's table may hold.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 300_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import nbsvm, packing, quality_rules, trie_bpe
+from lodestone.llm import nbsvm, packing, quality_rules, simhash, trie_bpe
 
 
 def vocabulary(name: str) -> str:
@@ -53,11 +53,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = simhash.fingerprints(docs).select("doc_id", "lanes")
+    found = simhash.components_of(marked)
+    return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("lanes")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_nbsvm": op4_nbsvm,
     "op5_trie_bpe": op5_trie_bpe,
     "op7_packing": op7_packing,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLES: dict[str, str] = {}

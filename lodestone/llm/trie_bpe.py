@@ -92,7 +92,7 @@ class Merges:
                         break
                 if not found:
                     break
-            if len(self.known) >= common.TABLE_ENTRIES * 4:
+            if len(self.known) >= common.TABLE_ENTRIES:
                 self.known.clear()
             self.known[pair] = found
         return found
@@ -103,8 +103,8 @@ class Suffixes:
 
     def __init__(self, tokens: dict[str, int], split):
         self.step: list[dict[str, int]] = [{}]
-        self.own: list[int | None] = [None]
-        self.depth = [0]
+        own: list[int | None] = [None]
+        depths = [0]
         for text, token in tokens.items():
             state = 0
             for symbol in split(text):
@@ -113,18 +113,20 @@ class Suffixes:
                     follower = len(self.step)
                     self.step[state][symbol] = follower
                     self.step.append({})
-                    self.own.append(None)
-                    self.depth.append(self.depth[state] + 1)
+                    own.append(None)
+                    depths.append(depths[state] + 1)
                 state = follower
-            self.own[state] = token
+            own[state] = token
         size = len(self.step)
         self.fall = [0] * size
-        self.ends: list[list[tuple[int, int]]] = [[] for _ in range(size)]
-        order = sorted(((self.depth[b], a, c, b) for a in range(size) for c, b in self.step[a].items()), key=lambda x: x[0])
+        self.ends: list[tuple[tuple[int, int], ...]] = [()] * size
+        leaf: dict[str, int] = {}  # one empty table for all states without followers
+        self.step = [x or leaf for x in self.step]
+        order = sorted(((depths[b], a, c, b) for a in range(size) for c, b in self.step[a].items()), key=lambda x: x[0])
         for depth, parent, symbol, state in order:
             self.fall[state] = self.follow(self.fall[parent], symbol, self.step) if parent else 0
-            own = [] if self.own[state] is None else [(self.own[state], depth)]
-            self.ends[state] = own + self.ends[self.fall[state]]
+            below = self.ends[self.fall[state]]
+            self.ends[state] = below if own[state] is None else ((own[state], depth), *below)
 
     def follow(self, state: int, symbol: str, steps: list[dict[str, int]]) -> int:
         while True:
@@ -280,7 +282,7 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", out: str =
         gc.freeze()  # the tables hold no cycles; do not walk them again and again
         for texts in batches:
             packed, decoded = [], []
-            for portion in common.portions(common.binaries(texts)):
+            for portion in common.portions(common.binaries(texts), 4 << 20):
                 words = [x.split() for x in portion]
                 table.admit(words)
                 for ws in words:
