@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import nbsvm, packing, quality_rules, simhash, trie_bpe
+from lodestone.llm import nbsvm, packing, quality_rules, simhash, substring_dedup, trie_bpe
 
 
 def vocabulary(name: str) -> str:
@@ -60,12 +60,19 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex(F.col("lanes")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring_dedup.dedup(docs)
+    return found.select("doc_id", "stripped.n_words", "stripped.n_removed", F.sha2("stripped.kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_nbsvm": op4_nbsvm,
     "op5_trie_bpe": op5_trie_bpe,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 ORACLES: dict[str, str] = {}
