@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import nbsvm, packing, quality_rules, simhash, substring_dedup, trie_bpe
+from lodestone.llm import binary_codes, nbsvm, packing, quality_rules, simhash, substring_dedup, trie_bpe
 
 
 def vocabulary(name: str) -> str:
@@ -66,6 +66,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "stripped.n_words", "stripped.n_removed", F.sha2("stripped.kept_text", 256).alias("kept_sha256"))
 
 
+def op10_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_codes.links(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_nbsvm": op4_nbsvm,
@@ -73,6 +77,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_binary_codes": op10_binary_codes,
 }
 
 ORACLES: dict[str, str] = {}
