@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import binary_codes, nbsvm, packing, quality_rules, simhash, substring_dedup, trie_bpe
+from lodestone.llm import binary_codes, license_scan, nbsvm, packing, quality_rules, sharding, simhash, substring_dedup, trie_bpe, warc
 
 
 def vocabulary(name: str) -> str:
@@ -25,6 +25,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "rules.*")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.round_trip(table(spark, sf_dir, "pages"))
+    payload = F.col("response.payload")
+    revisit = F.col("response.record_type") == "revisit"
+    return captures.select(
+        F.col("metadata.page_id").cast("long").alias("page_id"),
+        F.when(revisit, F.col("metadata.payload_bytes")).otherwise(F.octet_length(payload)).cast("long").alias("payload_bytes"),
+        F.when(revisit, F.substring_index("response.payload_digest", ":", -1)).otherwise(warc.base32_sha1(payload)).alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        F.col("metadata.refers_to_page").cast("long").alias("refers_to"),
+    )
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def held_out(column: str = "doc_id") -> F.Column:
     """The fifth of the ids that no fit may learn from."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
@@ -47,6 +65,14 @@ def op5_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("part"), (F.col("doc_id") % 16).cast("string")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    files = license_scan.own_licenses(docs.select("doc_id", path.alias("path"), "text"), "text").drop("text")
+    found = license_scan.inherit(files, "path")
+    return found.select("doc_id", "path", F.col("own.license").alias("own_license"), F.col("own.score").alias("own_score"), "license", "inherited_from", "inherited_depth")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = packing.pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
@@ -72,12 +98,25 @@ def op10_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_warc": op2_warc,
+    "op3_sharding": op3_sharding,
     "op4_nbsvm": op4_nbsvm,
     "op5_trie_bpe": op5_trie_bpe,
+    "op6_license_scan": op6_license_scan,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_binary_codes": op10_binary_codes,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_warc": """
+        with p as (select page_id, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as h from pages),
+        f as (select h, min(page_id) as first from p group by h),
+        d as (select p.page_id, n, first, list_transform(range(0, 40, 5), lambda k: ('0x' || substr(p.h, k + 1, 5))::int) as g from p join f using (h))
+        select page_id, n::bigint as payload_bytes,
+            list_aggregate(list_transform(g, lambda v: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)), 'string_agg', '')), 'string_agg', '') as payload_digest,
+            case when page_id = first then 'response' else 'revisit' end as record_type,
+            case when page_id <> first then first end as refers_to
+        from d""",
+}
