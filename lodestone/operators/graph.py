@@ -180,14 +180,14 @@ def search(graph: DataFrame, queries: DataFrame, k: int, size: int = 64, mode: s
     if allowed is None:
         found = graph.groupBy("shard").applyInPandas(lambda p: results(p, None), schema)
     else:
-        places = allowed.select("qid", "vec_id").join(graph.select("shard", "vec_id"), "vec_id")
+        places = allowed.select("qid", "vec_id").join(graph.select((F.col("shard") + 0).alias("place"), F.col("vec_id").alias("at")), F.col("vec_id") == F.col("at")).select("place", "qid", "vec_id")
 
         def pair(p: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
             if not len(p):
                 return pd.DataFrame([], columns=["qid", "vec_id", "dist"])
             return results(p, {int(q): set(g) for q, g in a.groupby("qid")["vec_id"]})
 
-        found = graph.groupBy("shard").cogroup(places.groupBy("shard")).applyInPandas(pair, schema)
+        found = graph.groupBy("shard").cogroup(places.groupBy("place")).applyInPandas(pair, schema)
     return knn.top(found.dropDuplicates(["qid", "vec_id"]), k).select("qid", "rank", "vec_id", "dist")
 
 

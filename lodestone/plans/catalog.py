@@ -1,11 +1,592 @@
-"""Registered queries over the test tables and the SQL that they must equal."""
+"""Registered queries over the test tables and the SQL that they must equal.
+
+Derived inputs, in both languages: a row's labels are ``label``, ``10 + vec_id % 5``
+and ``20 + vec_id % 7``, and every fiftieth row is universal. Queries of searches are
+the rows whose id is divisible by 20. The update log is the events table: an
+``error`` removes its user, any other event inserts the user with two labels.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lodestone.functions import labels as L
+from lodestone.functions import vectors as V
+from lodestone.operators import clustering, graph, hybrid, knn, metrics, postings, quantizer, updates
+from lodestone.sources import vecfiles
+from lodestone.streaming import ingest
+
+K = 10
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Views that the SQL below starts from.
+BASE = """
+    v as (select vec_id, embedding::double[] as e, label, [label, 10 + (vec_id % 5)::int, 20 + (vec_id % 7)::int] as labels, vec_id % 50 = 0 as is_universal from embeddings),
+    q as (select vec_id as qid, e as qe from v where vec_id % 20 = 0),
+    d as (select qid, vec_id, list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - qe[i]) * (e[i] - qe[i]))) as dist, labels, is_universal, label from q, v),
+    l as (select event_id as seq, user_id as vec_id, case when event_type = 'error' then 'REMOVE' else 'INSERT' end as op, [(event_id % 9)::int, 10 + (user_id % 4)::int] as labels from events)"""
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = "with " + BASE + sql if sql.lstrip().startswith(",") else sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("vec_id")
+    labels = F.array(F.col("label").cast("int"), (10 + i % 5).cast("int"), (20 + i % 7).cast("int"))
+    return embeddings(spark, sf_dir).withColumns({"labels": labels, "is_universal": i % 50 == 0})
+
+
+def asked(base: DataFrame) -> DataFrame:
+    return base.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+
+
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    op = F.when(F.col("event_type") == "error", "REMOVE").otherwise("INSERT")
+    return e.select(F.col("event_id").alias("seq"), op.alias("op"), F.col("user_id").alias("vec_id"), F.array((F.col("event_id") % 9).cast("int"), (10 + F.col("user_id") % 4).cast("int")).alias("labels"))
+
+
+def rounded(df: DataFrame, column: str = "dist", places: int = 6) -> DataFrame:
+    return df.withColumn(column, F.round(column, places) + F.lit(0.0))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place that the session names; a local one only where it names none."""
+    base = spark.sparkContext._jsc.sc().getCheckpointDir()
+    root = base.get() if base.isDefined() else "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _top(source: str, extra: str = "", k: int = K) -> str:
+    return f"""select qid, rank, vec_id, round(dist, 6) as dist from (select qid, vec_id, dist, row_number() over (partition by qid order by dist, vec_id) as rank from {source} {extra}) where rank <= {k}"""
+
+
+# ---- exact search --------------------------------------------------------------
+
+
+@query("knn_exact_l2", "," + "x as (select 1) " + _top("d"))
+def knn_exact_l2(spark, sf):
+    base = embeddings(spark, sf)
+    return rounded(knn.exact_knn(asked(base), base, K))
+
+
+@query("knn_exact_cosine", ", c as (select qid, vec_id, 1 - list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] * qe[i])) / sqrt(list_sum(list_transform(e, lambda x: x * x)) * list_sum(list_transform(qe, lambda x: x * x))) as dist from q, v) select qid, rank, vec_id, round(dist, 6) + 0.0 as dist from (" + _top("c").replace("round(dist, 6) as dist", "dist") + ")")
+def knn_exact_cosine(spark, sf):
+    base = embeddings(spark, sf)
+    return rounded(knn.exact_knn(asked(base), base, K, "cosine"))
+
+
+@query("knn_exact_int8", ", b as (select vec_id, list_transform(e, lambda x: round(x * 127)::bigint) as i8 from v), c as (select a.vec_id as qid, b.vec_id, list_sum(list_transform(range(1, len(a.i8) + 1), lambda i: (a.i8[i] - b.i8[i]) * (a.i8[i] - b.i8[i])))::double as dist from b a, b where a.vec_id % 20 = 0) " + _top("c"))
+def knn_exact_int8(spark, sf):
+    base = embeddings(spark, sf).select("vec_id", V.quantized_int8(F.col("embedding")).alias("embedding"))
+    return rounded(knn.exact_knn(asked(base), base, K))
+
+
+@query("knn_excluding_self", ", x as (select * from d where qid <> vec_id) " + _top("x"))
+def knn_excluding_self(spark, sf):
+    base = embeddings(spark, sf)
+    return rounded(knn.exact_knn(asked(base), base, K, skip_self=True))
+
+
+def _filtered(name: str, expression: str, sql: str) -> None:
+    @query(name, f", x as (select * from d where {sql}) " + _top("x"))
+    def run(spark, sf):
+        base = rows(spark, sf)
+        kept = base.where(L.predicate(expression, F.col("labels"), F.col("is_universal")))
+        return rounded(knn.exact_knn(asked(base), kept, K))
+
+
+_HAS = "(list_contains(labels, {}) or is_universal)"
+_filtered("knn_filtered_and", "1 & 12", f"{_HAS.format(1)} and {_HAS.format(12)}")
+_filtered("knn_filtered_or", "1 | 3", f"{_HAS.format(1)} or {_HAS.format(3)}")
+_filtered("knn_filtered_minus", "11 - 3", f"{_HAS.format(11)} and not {_HAS.format(3)}")
+_filtered("knn_filtered_paren", "(1 | 2) & 13", f"({_HAS.format(1)} or {_HAS.format(2)}) and {_HAS.format(13)}")
+
+
+@query("range_truth_update", ", x as (select qid, vec_id, dist, row_number() over (partition by qid order by dist, vec_id) as r from d where vec_id >= 100 and vec_id < 400) select qid, r as rank, vec_id, round(dist, 6) as dist from x where r <= 5 and qid in (select qid from x group by qid having count(*) >= 5)")
+def range_truth_update(spark, sf):
+    base = embeddings(spark, sf)
+    truth = knn.exact_knn(asked(base), base, 10_000)
+    return rounded(knn.restrict_truth(truth, 100, 400, 5))
+
+
+@query("knn_graph", ", x as (select a.vec_id, b.vec_id as nbr, row_number() over (partition by a.vec_id order by list_sum(list_transform(range(1, len(a.e) + 1), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))), b.vec_id) as rank from v a, v b where a.vec_id <> b.vec_id) select vec_id, nbr, rank from x where rank <= 8")
+def knn_graph(spark, sf):
+    return exact_graph(spark, sf).select("vec_id", F.posexplode("nbrs").alias("p", "nbr")).select("vec_id", "nbr", (F.col("p") + 1).cast("long").alias("rank"))
+
+
+def exact_graph(spark: SparkSession, sf: str, degree: int = 8) -> DataFrame:
+    base = embeddings(spark, sf)
+    near = knn.exact_knn(base.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), base, degree, skip_self=True)
+    return near.groupBy(F.col("qid").alias("vec_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda s: s["vec_id"]).alias("nbrs"))
+
+
+_GRAPH = """, g as (select vec_id, nbr from (select a.vec_id, b.vec_id as nbr, row_number() over (partition by a.vec_id order by list_sum(list_transform(range(1, len(a.e) + 1), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))), b.vec_id) as rank from v a, v b where a.vec_id <> b.vec_id) where rank <= 8)"""
+
+# ---- scalar functions and statistics ---------------------------------------------
+
+
+@query("vector_norms", ", n as (select vec_id, list_sum(list_transform(e, lambda x: x * x)) as s, e from v) select vec_id, round(sqrt(s), 6) as norm, round(list_sum(list_transform(e, lambda x: x / sqrt(s + 1e-12))), 5) + 0.0 as unit_sum, len(e)::int as dimension from n")
+def vector_norms(spark, sf):
+    e = F.col("embedding")
+    return embeddings(spark, sf).select("vec_id", F.round(F.sqrt(V.squared_norm(e)), 6).alias("norm"), (F.round(V.total(V.normalized(e, 1e-12)), 5) + 0.0).alias("unit_sum"), F.size(e).alias("dimension"))
+
+
+@query("distance_functions", ", x as (select qid, vec_id, e, qe from q, v) select qid, vec_id, round(list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - qe[i]) * (e[i] - qe[i]))), 6) as l2, round(1 - list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] * qe[i])) / sqrt(list_sum(list_transform(e, lambda x: x * x)) * list_sum(list_transform(qe, lambda x: x * x))), 6) + 0.0 as cosine from x")
+def distance_functions(spark, sf):
+    base = embeddings(spark, sf)
+    pairs = base.crossJoin(F.broadcast(asked(base)))
+    return pairs.select("qid", "vec_id", F.round(V.squared_l2(F.col("qv"), F.col("embedding")), 6).alias("l2"), (F.round(V.cosine_distance(F.col("qv"), F.col("embedding")), 6) + 0.0).alias("cosine"))
+
+
+@query("centroid_mean", ", x as (select unnest(range(0, len(e)))::int as dim, unnest(e) as x from v) select dim, round(avg(x), 6) + 0.0 as mean from x group by dim")
+def centroid_mean(spark, sf):
+    return rounded(clustering.mean_vector(embeddings(spark, sf)), "mean")
+
+
+_MEAN = ", m as (select list(m order by dim) as m from (select dim, avg(x) as m from (select unnest(range(0, len(e))) as dim, unnest(e) as x from v) group by dim))"
+
+
+@query("medoid", _MEAN + " select vec_id, round(dist, 6) as dist from (select vec_id, list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - m[i]) * (e[i] - m[i]))) as dist from v, m) order by dist, vec_id limit 1")
+def medoid(spark, sf):
+    return rounded(clustering.medoid(embeddings(spark, sf)))
+
+
+def first_centers(base: DataFrame, n: int) -> np.ndarray:
+    """Fixed starting centers: the first n rows."""
+    return np.array([r["embedding"] for r in base.where(F.col("vec_id") < n).orderBy("vec_id").collect()], float)
+
+
+_NEAR = ", c as (select vec_id as center, e as ce from v where vec_id < 8), a as (select vec_id, center, list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - ce[i]) * (e[i] - ce[i]))) as dist, e from v, c), r as (select *, row_number() over (partition by vec_id order by dist, center) as rank from a)"
+
+
+@query("kmeans_step", _NEAR + " select center, count(*) as n, round(sum(dist), 5) as residual, round(avg(e[1]), 6) + 0.0 as mean_first, round(avg(e[64]), 6) + 0.0 as mean_last from r where rank = 1 group by center")
+def kmeans_step(spark, sf):
+    base = embeddings(spark, sf)
+    step = clustering.lloyd_step(base, first_centers(base, 8))
+    return step.select("center", "n", F.round("residual", 5).alias("residual"), (F.round(F.col("mean")[0], 6) + 0.0).alias("mean_first"), (F.round(F.col("mean")[63], 6) + 0.0).alias("mean_last"))
+
+
+@query("assign_topk_base", _NEAR + " select vec_id, rank, center, round(dist, 6) as dist from r where rank <= 2")
+def assign_topk_base(spark, sf):
+    base = embeddings(spark, sf)
+    return rounded(clustering.nearest_centers(base, first_centers(base, 8), 2).drop("embedding"))
+
+
+@query("cluster_sizes", _NEAR + " select center, count(*) as n from r where rank <= 2 group by center")
+def cluster_sizes(spark, sf):
+    base = embeddings(spark, sf)
+    return clustering.nearest_centers(base, first_centers(base, 8), 2).groupBy("center").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("kmeans_partition")
+def kmeans_partition(spark, sf):
+    return clustering.partition(embeddings(spark, sf), most_rows=600).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sample_hash", "select vec_id from (select vec_id, (vec_id * 7919 + 17) % 1000003 as h from embeddings) where h % 10 < 3")
+def sample_hash(spark, sf):
+    return embeddings(spark, sf).where(((F.col("vec_id") * 7919 + 17) % 1000003) % 10 < 3).select("vec_id")
+
+
+@query("sizing", "select count(*) as n, 64 as dimension, round(1.1 * count(*) * (64 * 4 + 32 * 1.3 * 4), 1)::double as bytes, greatest(1, least(64, least(128, floor(100000.0 / count(*)))))::int as chunks from embeddings")
+def sizing(spark, sf):
+    n = embeddings(spark, sf).count()
+    row = (n, 64, round(clustering.memory_estimate(n, 64, 4, 32), 1), clustering.quantizer_chunks(100_000, n, 64))
+    return spark.createDataFrame([row], "n bigint, dimension int, bytes double, chunks int")
+
+
+# ---- quantiser ------------------------------------------------------------------
+
+
+def fixed_book(base: DataFrame, chunks: int = 8, codes: int = 16) -> quantizer.Codebook:
+    """A codebook without training: the chunks of the first rows, uncentred."""
+    x = first_centers(base, codes)
+    borders = quantizer.chunk_borders(x.shape[1], chunks)
+    return quantizer.Codebook(np.zeros(x.shape[1]), borders, [x[:, a:b] for a, b in zip(borders, borders[1:], strict=False)])
+
+
+_CODES = """, b as (select vec_id as code, e as ce from v where vec_id < 16),
+    pc as (select v.vec_id, c.chunk, b.code, list_sum(list_transform(range(1, 9), lambda i: (v.e[c.chunk * 8 + i] - b.ce[c.chunk * 8 + i]) * (v.e[c.chunk * 8 + i] - b.ce[c.chunk * 8 + i]))) as dist from v, b, (select unnest(range(0, 8)) as chunk) c),
+    k as (select vec_id, chunk, code, dist from (select *, row_number() over (partition by vec_id, chunk order by dist, code) as r from pc) where r = 1)"""
+
+
+@query("pq_encode_fixed", _CODES + " select vec_id, chunk, code, round(dist, 6) as dist from k")
+def pq_encode_fixed(spark, sf):
+    base = embeddings(spark, sf)
+    book = fixed_book(base)
+    coded = quantizer.decode(quantizer.encode(base, book), book)
+    each = coded.select("vec_id", "embedding", "decoded", F.posexplode("code").alias("chunk", "code"))
+    a, b = (F.slice(c, F.col("chunk") * 8 + 1, 8) for c in ("embedding", "decoded"))
+    return each.select("vec_id", F.col("chunk").cast("long").alias("chunk"), F.col("code").cast("long").alias("code"), F.round(V.squared_l2(a, b), 6).alias("dist"))
+
+
+@query("pq_decode_fixed", _CODES + " select vec_id, round(sum(dist), 6) as error from k group by vec_id")
+def pq_decode_fixed(spark, sf):
+    base = embeddings(spark, sf)
+    book = fixed_book(base)
+    coded = quantizer.decode(quantizer.encode(base, book), book)
+    return coded.select("vec_id", F.round(V.squared_l2(F.col("embedding"), F.col("decoded")), 6).alias("error"))
+
+
+_ADC = _CODES + ", adc as (select p.vec_id as qid, k.vec_id, sum(p.dist) as dist from pc p join k on p.chunk = k.chunk and p.code = k.code where p.vec_id % 20 = 0 group by all)"
+
+
+@query("pq_adc_fixed", _ADC + " " + _top("(select qid, vec_id, round(dist, 9) as dist from adc)"))
+def pq_adc_fixed(spark, sf):
+    base = embeddings(spark, sf)
+    book = fixed_book(base)
+    found = quantizer.scan(asked(base), quantizer.encode(base, book), book, 10_000)
+    return rounded(knn.top(rounded(found.drop("rank"), places=9), K)).select("qid", "rank", "vec_id", "dist")
+
+
+@query("pq_symmetric_fixed", _CODES + ", s as (select x.vec_id as qid, y.vec_id, round(sum(p.dist), 9) as dist from k x join k y on x.chunk = y.chunk join pc p on p.vec_id = x.code and p.chunk = x.chunk and p.code = y.code where x.vec_id % 20 = 0 group by all) " + _top("s"))
+def pq_symmetric_fixed(spark, sf):
+    base = embeddings(spark, sf)
+    book = fixed_book(base)
+    found = quantizer.scan(asked(base), quantizer.encode(base, book), book, 10_000, symmetric=True)
+    return rounded(knn.top(rounded(found.drop("rank"), places=9), K)).select("qid", "rank", "vec_id", "dist")
+
+
+@query("ivf_rerank", _ADC + ", near as (select qid, vec_id from (select qid, vec_id, row_number() over (partition by qid order by round(adc.dist, 9), vec_id) as r from adc join v using (vec_id) where " + f"{_HAS.format(1)} or {_HAS.format(12)}" + ") where r <= 50), x as (select d.* from d join near using (qid, vec_id)) " + _top("x"))
+def ivf_rerank(spark, sf):
+    base = rows(spark, sf)
+    book = fixed_book(base)
+    kept = base.where(L.predicate("1 | 12", F.col("labels"), F.col("is_universal")))
+    found = quantizer.scan(asked(base), quantizer.encode(kept, book), book, 10_000)
+    near = knn.top(rounded(found.drop("rank"), places=9), 5 * K)
+    return rounded(quantizer.rerank(near, asked(base), base, K, V.squared_l2))
+
+
+@query("pq_train")
+def pq_train(spark, sf):
+    base = embeddings(spark, sf)
+    book = quantizer.train(base, 16)
+    coded = quantizer.decode(quantizer.encode(base, book), book)
+    return coded.select("vec_id", F.round(V.squared_l2(F.col("embedding"), F.col("decoded")), 6).alias("error"))
+
+
+# ---- labels ---------------------------------------------------------------------
+
+
+@query("postings_build", ", p as (select distinct vec_id, unnest(labels) as label from v where not is_universal) select label, count(*) as n, sum(vec_id)::bigint as id_sum from p group by label")
+def postings_build(spark, sf):
+    return postings.sizes(postings.build(rows(spark, sf))[0])
+
+
+@query("posting_bitmaps", ", p as (select distinct vec_id, unnest(labels) as label from v where not is_universal) select label, count(*) as n from p group by label")
+def posting_bitmaps(spark, sf):
+    bits = postings.bitmaps(postings.build(rows(spark, sf))[0])
+    return bits.groupBy("label").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+
+
+@query("posting_conjunction", f", x as (select vec_id from v where (list_contains(labels, 2) and list_contains(labels, 13)) or is_universal) select vec_id from x")
+def posting_conjunction(spark, sf):
+    return rows(spark, sf).where(L.conjunction([2, 13], F.col("labels"), F.col("is_universal"))).select("vec_id")
+
+
+_EXPRESSIONS = {
+    0: ("4", _HAS.format(4)),
+    1: ("1 & 11", f"{_HAS.format(1)} and {_HAS.format(11)}"),
+    2: ("1 | 2 & 13", f"{_HAS.format(1)} or ({_HAS.format(2)} and {_HAS.format(13)})"),
+    3: ("14 - 2 & 23", f"({_HAS.format(14)} and not {_HAS.format(2)}) and {_HAS.format(23)}"),
+    4: ("(1 | 2 | 3) - (10 | 11)", f"({_HAS.format(1)} or {_HAS.format(2)} or {_HAS.format(3)}) and not ({_HAS.format(10)} or {_HAS.format(11)})"),
+    5: ("", "is_universal"),
+}
+
+
+@query("label_expressions", ", x as (" + " union all ".join(f"select {i}::bigint as qid, vec_id from v where {sql}" for i, (_, sql) in _EXPRESSIONS.items()) + ") select qid, vec_id from x")
+def label_expressions(spark, sf):
+    return hybrid.candidates({i: e for i, (e, _) in _EXPRESSIONS.items()}, rows(spark, sf))
+
+
+@query("label_set_algebra", ORACLES["label_expressions"].removeprefix("with " + BASE))
+def label_set_algebra(spark, sf):
+    lists, universal = postings.build(rows(spark, sf))
+    parts = [L.candidates(e, lists, universal).select(F.lit(i).cast("long").alias("qid"), "vec_id") for i, (e, _) in _EXPRESSIONS.items()]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found
+
+
+@query("universal_rule", ", x as (select vec_id from v where (list_contains(labels, 11) and not list_contains(labels, 3)) or is_universal) select vec_id from x")
+def universal_rule(spark, sf):
+    return rows(spark, sf).where(L.predicate("11 - 3", F.col("labels"), F.col("is_universal"), universal="always")).select("vec_id")
+
+
+@query("tombstone_filter", ", x as (select * from d where vec_id not in (select user_id from events where event_type = 'error' and user_id is not null)) " + _top("x"))
+def tombstone_filter(spark, sf):
+    base = embeddings(spark, sf)
+    gone = log(spark, sf).where("op = 'REMOVE'").select("vec_id").distinct()
+    return rounded(knn.exact_knn(asked(base), base.join(gone, "vec_id", "left_anti"), K))
+
+
+_ROUTES = ", n as (" + " union all ".join(f"select {i}::bigint as qid, count(*) as n from v where {sql}" for i, (_, sql) in _EXPRESSIONS.items()) + ") select qid, n, round(n / (select count(*) from v), 6) as hit_rate, case when n / (select count(*) from v) < 0.1 then 'scan' else 'graph' end as path from n"
+
+
+@query("hit_rate_route", _ROUTES)
+def hit_rate_route(spark, sf):
+    base = rows(spark, sf)
+    expressions = {i: e for i, (e, _) in _EXPRESSIONS.items()}
+    return hybrid.routes(hybrid.candidates(expressions, base), expressions, base, 0.1)
+
+
+# ---- updates --------------------------------------------------------------------
+
+
+@query("upsert_latest_wins", ", r as (select *, row_number() over (partition by vec_id order by seq desc) as r from l) select vec_id, seq, op, array_to_string(labels, ',') as labels from r where r = 1")
+def upsert_latest_wins(spark, sf):
+    return updates.latest(log(spark, sf)).select("vec_id", "seq", "op", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
+_FOLD = ", r as (select *, row_number() over (partition by vec_id order by seq desc) as r from l), f as (select vec_id, labels from r where r = 1 and op = 'INSERT')"
+
+
+@query("oplog_fold", _FOLD + " select vec_id, array_to_string(labels, ',') as labels from f")
+def oplog_fold(spark, sf):
+    return updates.fold(log(spark, sf)).select("vec_id", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
+@query("oplog_fold_merging", ", g as (select vec_id, max(seq) as gone from l where op = 'REMOVE' group by vec_id), s as (select distinct l.vec_id, unnest(labels) as x from l left join g using (vec_id) where op = 'INSERT' and (gone is null or seq > gone)) select vec_id, array_to_string(list(x order by x), ',') as labels from s group by vec_id")
+def oplog_fold_merging(spark, sf):
+    return updates.fold_merging(log(spark, sf)).select("vec_id", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
+_LAYERS = ", m as (select vec_id, labels from v where vec_id not in (select vec_id from r where r = 1) union all select vec_id, labels from f)"
+
+
+@query("index_compact", _FOLD + _LAYERS + ", p as (select distinct vec_id, unnest(labels) as label from m) select label, count(*) as n, sum(vec_id)::bigint as id_sum from p group by label")
+def index_compact(spark, sf):
+    base = rows(spark, sf).select("vec_id", "labels")
+    last = updates.latest(log(spark, sf))
+    live = postings.layered(base, last.where("op = 'INSERT'").select("vec_id", "labels"), last.where("op = 'REMOVE'").select("vec_id"))
+    versions = updates.Versions(spark, scratch(spark, "index"))
+    lists = live.select("vec_id", F.explode("labels").alias("label")).distinct()
+    versions.write({"postings": lists})
+    return postings.sizes(versions.read("postings"))
+
+
+@query("batch_delete", ", t as (select distinct user_id as vec_id from events where event_type = 'error'), x as (select 'kept' as what, vec_id from v where vec_id not in (select vec_id from t) union all select 'unknown', vec_id from t where vec_id not in (select vec_id from v)) select what, count(*) as n from x group by what")
+def batch_delete(spark, sf):
+    kept, unknown = updates.delete(embeddings(spark, sf).select("vec_id"), log(spark, sf).where("op = 'REMOVE'").select("vec_id").distinct())
+    return kept.withColumn("what", F.lit("kept")).unionByName(unknown.withColumn("what", F.lit("unknown"))).groupBy("what").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("stream_ingest", ORACLES["oplog_fold"].removeprefix("with " + BASE))
+def stream_ingest(spark, sf):
+    folder = scratch(spark, "stream")
+    log(spark, sf).repartition(4, "seq").write.parquet(f"{folder}/log")
+    source = spark.readStream.schema(ingest.LOG).option("maxFilesPerTrigger", 2).parquet(f"{folder}/log")
+    live = ingest.live(ingest.fold_stream(source, f"{folder}/state"), spark)
+    return live.select("vec_id", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
+# ---- graphs ---------------------------------------------------------------------
+
+
+@query("degree_stats", _GRAPH + ", k as (select nbr, count(*) as n from g group by nbr) select max(coalesce(n, 0)) as max_degree, round(avg(coalesce(n, 0)), 6) as avg_degree, min(coalesce(n, 0)) as min_degree, count(*) filter (coalesce(n, 0) < 2)::bigint as below_two from v left join k on k.nbr = v.vec_id")
+def degree_stats(spark, sf):
+    back = exact_graph(spark, sf).select("vec_id", F.explode("nbrs").alias("nbr")).groupBy(F.col("nbr").alias("vec_id")).agg(F.collect_list("vec_id").alias("nbrs"))
+    every = embeddings(spark, sf).select("vec_id").join(back, "vec_id", "left").withColumn("nbrs", F.coalesce("nbrs", F.array().cast("array<bigint>")))
+    return graph.degree_stats(every)
+
+
+@query("edge_repair", _GRAPH + ", t as (select vec_id from v where vec_id % 7 = 3), x as (select vec_id, nbr from g where vec_id not in (from t) and nbr not in (from t) union select a.vec_id, b.nbr from g a join g b on a.nbr = b.vec_id where a.vec_id not in (from t) and a.nbr in (from t) and b.nbr not in (from t) and b.nbr <> a.vec_id) select vec_id, nbr from x")
+def edge_repair(spark, sf):
+    gone = embeddings(spark, sf).where("vec_id % 7 = 3").select("vec_id")
+    return graph.repaired(exact_graph(spark, sf), gone).select("vec_id", F.explode("nbrs").alias("nbr"))
+
+
+@query("khop_expand", _GRAPH + ", h as (select vec_id as origin, vec_id, 0 as hop from v where vec_id % 50 = 0 union all select origin, nbr, hop + 1 from h join g on g.vec_id = h.vec_id where hop < 3) select origin, vec_id, min(hop)::bigint as hop from h group by all".replace(", h as", ", h as").replace("with ", ""))
+def khop_expand(spark, sf):
+    return graph.within_hops(exact_graph(spark, sf), embeddings(spark, sf).where("vec_id % 50 = 0").select("vec_id"), 3)
+
+
+ORACLES["khop_expand"] = ORACLES["khop_expand"].replace("with ", "with recursive ", 1)
+
+
+@query("edge_cross_counts", _GRAPH + " select count(*) filter (vec_id < 250 and nbr >= 250)::bigint as old_to_new, count(*) filter (vec_id >= 250 and nbr < 250)::bigint as new_to_old, count(*) filter (vec_id < 250 and nbr < 250)::bigint as old_to_old, count(*) filter (vec_id >= 250 and nbr >= 250)::bigint as new_to_new from g")
+def edge_cross_counts(spark, sf):
+    return graph.cross_counts(exact_graph(spark, sf), 250)
+
+
+@query("shard_union_cap", _GRAPH + ", u as (select vec_id, nbr from g union select nbr, vec_id from g), k as (select vec_id, nbr, row_number() over (partition by vec_id order by (nbr * 7919 + vec_id * 104729) % 1000003, nbr) as r from u) select vec_id, nbr from k where r <= 6")
+def shard_union_cap(spark, sf):
+    g = exact_graph(spark, sf)
+    back = g.select("vec_id", F.explode("nbrs").alias("nbr")).groupBy(F.col("nbr").alias("vec_id")).agg(F.collect_list("vec_id").alias("nbrs"))
+    return graph.merged(g.unionByName(back), 6).select("vec_id", F.explode("nbrs").alias("nbr"))
+
+
+def built(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "graph")
+    graph.build(embeddings(spark, sf), degree=24, size=48, most_rows=1500).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("vamana_build")
+def vamana_build(spark, sf):
+    return built(spark, sf).select("shard", "vec_id", F.size("nbrs").alias("degree"), "is_entry")
+
+
+@query("greedy_search")
+def greedy_search(spark, sf):
+    return rounded(graph.search(built(spark, sf), asked(embeddings(spark, sf)), K))
+
+
+def _beam(mode: str, width: int) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark, sf):
+        base = embeddings(spark, sf)
+        return rounded(graph.search(built(spark, sf), asked(base), K, mode=mode, width=width, book=quantizer.train(base, 16)))
+
+    return run
+
+
+for _name, _mode, _width in (("beam_search", "beam", 4), ("page_search", "page", 4), ("pipe_search", "pipe", 32), ("interleaved_search", "interleaved", 8)):
+    query(_name)(_beam(_mode, _width))
+
+
+@query("filtered_beam_search")
+def filtered_beam_search(spark, sf):
+    base = rows(spark, sf)
+    allowed = asked(base).select("qid").crossJoin(base.where(L.predicate("1 | 12", F.col("labels"), F.col("is_universal"))).select("vec_id"))
+    return rounded(graph.search(built(spark, sf), asked(base), K, mode="beam", book=quantizer.train(base, 16), allowed=allowed))
+
+
+def _expressions_of(base: DataFrame) -> dict[int, str]:
+    texts = [e for e, _ in _EXPRESSIONS.values()]
+    return {r["qid"]: texts[r["qid"] // 20 % len(texts)] for r in asked(base).select("qid").collect()}
+
+
+@query("hybrid_exact", ", x as (select d.* from d where case (qid // 20) % 6 " + " ".join(f"when {i} then ({sql})" for i, (_, sql) in _EXPRESSIONS.items()) + " end) " + _top("x"))
+def hybrid_exact(spark, sf):
+    base = rows(spark, sf)
+    return rounded(hybrid.exact(asked(base), _expressions_of(base), base, K))
+
+
+@query("hybrid_search")
+def hybrid_search(spark, sf):
+    base = rows(spark, sf)
+    book = quantizer.train(base, 16)
+    return rounded(hybrid.search(asked(base), _expressions_of(base), base, built(spark, sf), quantizer.encode(base, book), book, K, multiplier=20))
+
+
+@query("merge_deletes")
+def merge_deletes(spark, sf):
+    base = embeddings(spark, sf).select("vec_id", "embedding")
+    new = base.where("vec_id % 10 = 1")
+    gone = base.where("vec_id % 7 = 3").select("vec_id")
+    _, merged = updates.merge(base.where("vec_id % 10 <> 1"), exact_graph(spark, sf), new, gone, 16)
+    return merged.select("vec_id", F.explode("nbrs").alias("nbr"))
+
+
+# ---- evaluation -----------------------------------------------------------------
+
+_TIES = ", t as (select qid, vec_id, round(dist, 1) as dist from d), r as (select qid, vec_id, row_number() over (partition by qid order by dist, vec_id) as rank from d where vec_id % 3 <> 1)"
+
+
+@query("recall_tie_aware", _TIES + ", k as (select qid, vec_id from (select *, rank() over (partition by qid order by dist) as n from t) where n <= 10) select (select count(distinct qid) from t) as n_queries, round(100.0 * count(*) / ((select count(distinct qid) from t) * 10), 6)::double as recall from r join k using (qid, vec_id) where r.rank <= 10")
+def recall_tie_aware(spark, sf):
+    base = embeddings(spark, sf)
+    truth = rounded(knn.exact_knn(asked(base), base, 10_000), places=1)
+    return metrics.recall(knn.exact_knn(asked(base), base.where("vec_id % 3 <> 1"), K), truth, K)
+
+
+@query("recall_active_only", _TIES + ", k as (select qid, vec_id from (select *, rank() over (partition by qid order by dist) as n from t where vec_id % 2 = 0) where n <= 10) select (select count(distinct qid) from t) as n_queries, round(100.0 * count(*) / ((select count(distinct qid) from t) * 10), 6)::double as recall from r join k using (qid, vec_id) where r.rank <= 10")
+def recall_active_only(spark, sf):
+    base = embeddings(spark, sf)
+    truth = rounded(knn.exact_knn(asked(base), base, 10_000), places=1).where("vec_id % 2 = 0")
+    return metrics.recall(knn.exact_knn(asked(base), base.where("vec_id % 3 <> 1"), K), truth, K)
+
+
+@query("percentile_floor", "with x as (select value, row_number() over (order by value) as r, count(*) over () as n from events where value is not null) select max(value) filter (r = floor(0.5 * n) + 1) as p50, max(value) filter (r = floor(0.99 * n) + 1) as p99 from x")
+def percentile_floor(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet").where("value is not null")
+    return metrics.percentile(e, "value", 0.5, "p50").crossJoin(metrics.percentile(e, "value", 0.99, "p99"))
+
+
+@query("path_stats", "select event_type, count(*) as n, round(avg(value), 6) as avg_value, max(value) as max_value from events group by event_type")
+def path_stats(spark, sf):
+    return metrics.path_stats(spark.read.parquet(f"{sf}/events.parquet"), "event_type", "value")
+
+
+@query("new_hit_share", ", x as (select *, row_number() over (partition by qid order by dist, vec_id) as r from d) select round(100.0 * avg((vec_id >= 250)::int), 6) as share from x where r <= 10")
+def new_hit_share(spark, sf):
+    base = embeddings(spark, sf)
+    return knn.exact_knn(asked(base), base, K).agg(metrics.share(F.col("vec_id") >= 250, "share"))
+
+
+@query("result_completeness", ", x as (select qid, count(*) as c from d where list_contains(labels, 4) and list_contains(labels, 13) and list_contains(labels, 22) group by qid) select qid, least(c, 10) as n from x where c < 10")
+def result_completeness(spark, sf):
+    base = rows(spark, sf)
+    kept = base.where(F.array_contains("labels", 4) & F.array_contains("labels", 13) & F.array_contains("labels", 22))
+    return metrics.incomplete(knn.exact_knn(asked(base), kept, K), K)
+
+
+@query("label_violations", "select qid, rank, vec_id, dist from (select 0::bigint as qid, 0::bigint as rank, 0::bigint as vec_id, 0::double as dist) where false")
+def label_violations(spark, sf):
+    base = rows(spark, sf)
+    expressions = _expressions_of(base)
+    return metrics.violations(hybrid.exact(asked(base), expressions, base, K), hybrid.candidates(expressions, base)).select("qid", "rank", "vec_id", "dist")
+
+
+@query("integrity_check", "select 0::bigint as odd_dimensions, 0::bigint as repeated_ids, 0::bigint as dangling_edges, 0::bigint as self_loops")
+def integrity_check(spark, sf):
+    return metrics.integrity(embeddings(spark, sf), exact_graph(spark, sf))
+
+
+# ---- files ----------------------------------------------------------------------
+
+
+def _file_trip(name: str, layout: str, element: str, sql: str) -> None:
+    @query(name, sql)
+    def run(spark, sf):
+        base = embeddings(spark, sf).select("vec_id", "embedding")
+        if element == "int8":
+            base = base.withColumn("embedding", V.quantized_int8(F.col("embedding")))
+        path = scratch(spark, name)
+        vecfiles.write(base, path, layout, element)
+        back = vecfiles.read(spark, path, layout, element)
+        return back.select("vec_id", F.size("embedding").alias("dimension"), F.round(F.col("embedding")[0].cast("double"), 5).alias("first"), F.round(F.col("embedding")[63].cast("double"), 5).alias("last"))
+
+
+_ENDS = "select vec_id, len(embedding)::int as dimension, round({0}, 5) as first, round({1}, 5) as last from embeddings"
+_file_trip("vecbin_round_trip", "vecbin", "float", _ENDS.format("embedding[1]::double", "embedding[64]::double"))
+_file_trip("vecs_round_trip", "vecs", "float", _ENDS.format("embedding[1]::double", "embedding[64]::double"))
+_file_trip("vecbin_int8_round_trip", "vecbin", "int8", _ENDS.format("round(embedding[1]::double * 127)::bigint::double", "round(embedding[64]::double * 127)::bigint::double"))
+
 
-def queries() -> dict:
-    return {}
+@query("fetch_rows", "select vec_id, label from embeddings where vec_id in (3, 77, 401) or vec_id between 120 and 139")
+def fetch_rows(spark, sf):
+    return embeddings(spark, sf).where(F.col("vec_id").isin(3, 77, 401) | F.col("vec_id").between(120, 139)).select("vec_id", "label")
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("tag_map", "select vec_id, coalesce(case when vec_id % 3 = 0 then vec_id + 1000000 end, vec_id) as tag from embeddings")
+def tag_map(spark, sf):
+    return embeddings(spark, sf).select("vec_id", F.coalesce(F.when(F.col("vec_id") % 3 == 0, F.col("vec_id") + 1000000), F.col("vec_id")).alias("tag"))

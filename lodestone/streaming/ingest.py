@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +29,7 @@ def fold_stream(log: DataFrame, folder: str, trigger: dict | None = None) -> Ver
             rows = rows.unionByName(versions.read("state", version))
         versions.write({"state": latest(rows)})
 
-    query = log.writeStream.foreachBatch(one).option("checkpointLocation", f"{folder}/checkpoint-{uuid.uuid4().hex}").trigger(**(trigger or {"availableNow": True})).start()
+    query = log.writeStream.foreachBatch(one).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
     query.awaitTermination()
     return versions
 
