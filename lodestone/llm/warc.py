@@ -22,6 +22,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,22 +116,29 @@ _HEADER = re.compile(rb"(?im)^([A-Za-z-]+):[ \t]*(.*?)[ \t]*\r?$")
 def parse(pieces: Iterator[bytes]) -> Iterator[tuple]:
     """Records of a stream that was cut at each CR LF CR LF. One record is held at a time."""
     mark = END.encode()
-    for head in pieces:
-        if not head.lstrip(b"\r\n").startswith(b"WARC/"):
-            continue  # between records: padding or debris
+    held = b""
+    while True:
+        held = held.lstrip(b"\r\n")
+        while mark not in held:
+            piece = next(pieces, None)
+            if piece is None:
+                return
+            held = (held + piece + mark).lstrip(b"\r\n")
+        head, _, rest = held.partition(mark)
+        if not head.startswith(b"WARC/"):
+            held = rest  # between records: padding or debris
+            continue
         fields = {k.lower(): v for k, v in _HEADER.findall(head)}
         length = int(fields.get(b"content-length", b"0"))
-        parts, have = [], -len(mark)
+        parts, have = [rest], len(rest)
         while have < length:
             piece = next(pieces, None)
             if piece is None:
                 break
-            parts.append(piece)
+            parts += (piece, mark)
             have += len(piece) + len(mark)
-        block = mark.join(parts)
-        if len(block) < length and len(block) + len(mark) >= length:
-            block += mark  # the block itself ends with the mark that ended the last piece
-        block = block[:length]
+        block = b"".join(parts)
+        block, held = block[:length], block[length:]
         kind = fields.get(b"warc-type", b"").decode()
         is_http = fields.get(b"content-type", b"").startswith(b"application/http")
         http, _, payload = block.partition(mark) if is_http else (b"", b"", block)
@@ -158,7 +166,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         kinds = [pa.string()] * 8 + [pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=RECORD.names)
 
-    lines = spark.read.schema("value string").option("lineSep", END).text(path)
+    common.small_batches(spark)
+    try:
+        lines = spark.read.schema("value string").option("lineSep", END).text(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lines = spark.createDataFrame([], "value string")  # an archive of no page has no such folder
     return lines.select(F.col("value").cast("binary").alias("value")).mapInArrow(run, RECORD)
 
 
