@@ -2,9 +2,10 @@
 
 A link joins documents of equal text. Links are never listed: the weight of a
 shard for a document is the number of its group's documents there, so a group's
-state is a row for each cell (group, bucket, first shard) and range of ranks in it.
+state is a row for each cell (group, bucket) and range of ranks in it.
 
-1. Linked documents are numbered and dealt to the shards in turn.
+1. The cells of linked documents are laid end to end, groups in the order of a hash,
+   and the row is cut into equal lengths, one for each shard.
 2. Rounds of joins: each cell asks for the shard that holds most of its group. A
    move is granted against a move the other way, or into room that the quota
    leaves (documents without links are placed last, so they leave room). Grants are
@@ -73,7 +74,7 @@ def _round(state: DataFrame, quotas: list[int], turn: int) -> DataFrame | None:
     # at most one entry for each shard in a group's list
     rank = F.struct("w", F.xxhash64("g", "shard").alias("tie"), "shard")
     lists = mass.groupBy("g").agg(F.collect_list(rank).alias("all")).where(F.size("all") > 1)
-    asked = state.join(lists, "g").select("g", "c", "s0", "lo", "hi", "shard", size, "all")
+    asked = state.join(lists, "g").select("g", "c", "lo", "hi", "shard", size, "all")
     own = F.filter("all", lambda x: x["shard"] == F.col("shard"))[0]
     better = F.filter("all", lambda x: x["shard"].isin(open_shards) & (F.struct(x["w"], x["tie"]) > F.struct(own["w"], own["tie"])))
     asked = asked.withColumn("target", F.array_max(better)["shard"]).where("target is not null")
@@ -100,16 +101,38 @@ def _round(state: DataFrame, quotas: list[int], turn: int) -> DataFrame | None:
         rows.append((*pair, cut, left))
     allowed = F.broadcast(spark.createDataFrame(rows, "shard int, target int, cut int, rest long"))
     asked = asked.join(allowed, ["shard", "target"]).where("part <= cut")
-    edge = Window.partitionBy("shard", "target").orderBy("g", "c", "s0", "lo").rowsBetween(Window.unboundedPreceding, -1)
+    edge = Window.partitionBy("shard", "target").orderBy("g", "c", "lo").rowsBetween(Window.unboundedPreceding, -1)
     border = asked.where("part = cut").withColumn("moved", F.greatest(F.lit(0), F.least("size", F.col("rest") - F.coalesce(F.sum("size").over(edge), F.lit(0)))))
     moved = asked.where("part < cut").withColumn("moved", F.col("size")).unionByName(border).where("moved > 0")
-    key = ["g", "c", "s0", "lo"]
+    key = ["g", "c", "lo"]
     after = state.join(moved.select(*key, "target", "moved"), key, "left")
     middle = F.col("lo") + F.coalesce("moved", F.lit(0))
     pieces = F.array(
         F.struct("lo", middle.alias("hi"), F.col("target").alias("shard")), F.struct(middle.alias("lo"), "hi", "shard")
     )
-    return common.written(after.select("g", "c", "s0", F.explode(F.filter(pieces, lambda x: x["hi"] > x["lo"])).alias("x")).select("g", "c", "s0", "x.*"), "shards")
+    return common.written(after.select("g", "c", F.explode(F.filter(pieces, lambda x: x["hi"] > x["lo"])).alias("x")).select("g", "c", "x.*"), "shards")
+
+
+def _laid_out(linked: DataFrame, shards: int, buckets: int) -> DataFrame:
+    """Cells (g, c, lo, hi, shard): groups end to end, cut into equal lengths."""
+    cells = linked.groupBy("g", "c").agg(F.count(F.lit(1)).alias("m"))
+    sums = cells.groupBy("g").agg(F.sum("m").alias("n")).withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    within = earlier(Window.partitionBy("bucket").orderBy("g"))
+    before = earlier(Window.orderBy("bucket"))
+    offsets = sums.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    starts = sums.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).join(offsets, "bucket").select("g", (F.col("first") + F.col("inside")).alias("start"))
+    among = F.coalesce(F.sum("m").over(earlier(Window.partitionBy("g").orderBy("c"))), F.lit(0))
+    placed = cells.withColumn("among", among).join(starts, "g").withColumn("start", F.col("start") + F.col("among"))
+    placed = common.written(placed.select("g", "c", "m", "start"), "cells")
+    total = placed.agg(F.sum("m")).first()[0] or 0
+    zero = F.lit(0).cast("long")
+    borders = [s * total // shards for s in range(shards + 1)]
+    pieces = F.array(*[
+        F.struct(F.greatest(zero, F.lit(a) - F.col("start")).alias("lo"), F.least("m", F.lit(b) - F.col("start")).alias("hi"), F.lit(s).alias("shard"))
+        for s, (a, b) in enumerate(zip(borders, borders[1:], strict=False))
+    ])
+    return common.written(placed.select("g", "c", F.explode(F.filter(pieces, lambda x: x["hi"] > x["lo"])).alias("x")).select("g", "c", "x.*"), "shards")
 
 
 def assign(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text: str = "text", rounds: int = 8) -> DataFrame:
@@ -129,11 +152,9 @@ def assign(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text: st
     base = base.join(groups, "g", "left").withColumn("u", F.xxhash64(F.col(id_column).cast("string"), "g"))
     base = common.written(base.withColumn("bucket", F.pmod("u", F.lit(buckets)).cast("int")), "documents")
     order = ["u", id_column]
-    linked = numbered(base.where("n is not null"), [], order, buckets, "at").withColumn("s0", (F.col("at") % shards).cast("int")).withColumnRenamed("bucket", "c")
-    rank = Window.partitionBy("g", "c", "s0").orderBy(*order)
-    linked = common.written(linked.withColumn("rank", F.row_number().over(rank) - 1).drop("at", "n"), "linked")
-    state = linked.groupBy("g", "c", "s0").agg(F.count(F.lit(1)).alias("hi")).select("g", "c", "s0", F.lit(0).cast("long").alias("lo"), "hi", F.col("s0").alias("shard"))
-    state = common.written(state, "shards")
+    rank = Window.partitionBy("g", "bucket").orderBy(*order)
+    linked = common.written(base.where("n is not null").withColumn("rank", F.row_number().over(rank) - 1).withColumnRenamed("bucket", "c"), "linked")
+    state = _laid_out(linked, shards, buckets)
     idle = 0
     for turn in range(rounds):
         after = _round(state, quotas, turn)
@@ -142,7 +163,7 @@ def assign(docs: DataFrame, shards: int = 8, id_column: str = "doc_id", text: st
             break
         state = after
     loads = {r["shard"]: r["n"] for r in state.groupBy("shard").agg(F.sum(F.col("hi") - F.col("lo")).alias("n")).collect()}
-    placed = linked.join(state, ["g", "c", "s0"]).where("lo <= rank and rank < hi").select(id_column, "size", "text_crc32", "g", "u", F.col("c").alias("bucket"), "shard")
+    placed = linked.join(state, ["g", "c"]).where("lo <= rank and rank < hi").select(id_column, "size", "text_crc32", "g", "u", F.col("c").alias("bucket"), "shard")
     single = numbered(base.where("n is null"), [], order, buckets, "at")
     border, shard = 0, F.lit(shards - 1)
     borders = []
