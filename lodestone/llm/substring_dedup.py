@@ -9,11 +9,11 @@ for word, starts at another place too, in the same document or another.
    parts, so the estimate for a window is never below its count, and a text
    needs an eighth of the insertions. The partitions' sketches are merged block
    by block, and the blocks' "twice or more" bits, of bounded size, are broadcast.
-2. Windows: a second pass hashes every window (128 bits) and drops those that
-   the sketch estimates at one. Of the rest, those met again in the same portion
-   are known at once; one row for each distinct window is dealt by its hash and
-   grouped exactly. So a passage that a third of all rows share costs one row a
-   portion, and no group is gathered anywhere.
+2. Windows: a second pass hashes every window (96 bits) and drops those that
+   the sketch estimates at one. Of the rest, those that a task meets again are
+   known at once; one row for each distinct window is dealt by its hash and
+   grouped exactly. So a passage that a third of all rows share costs a task one
+   row, and no group is gathered anywhere.
 3. The repeated spans come back to their documents, and the words go.
 
 The sketch is sized by the bytes of text: eight cells for each expected
@@ -182,7 +182,43 @@ def runs(starts: np.ndarray, width: int) -> bytes:
     return np.stack([first, last + width], 1).astype("<u4").tobytes()
 
 
-WINDOWS = "deal long, high long, low long, key1 long, key2 long, at long, again boolean, spans binary"
+WINDOWS = "deal long, high long, low int, key1 long, key2 int, at int, again boolean, spans binary"
+#: Windows that a task holds to find repeats among them before it deals them out.
+HELD = 1 << 20
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+_KIND = pa.schema([(n, _ARROW[t]) for n, t in (c.split() for c in WINDOWS.split(", "))])
+
+
+def dealt(parts: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows for held windows, given as arrays of high, low, key1, key2, at and the document's number.
+
+    One row for each distinct window; it names its document only if no other held
+    window is equal. The windows that are, are repeated for certain: their
+    documents get rows of spans.
+    """
+    high, low, key1, key2, at, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((low, high))
+    high, low, key1, key2, at, doc = (x[order] for x in (high, low, key1, key2, at, doc))
+    new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+    again = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > 1
+    n, hidden = int(new.sum()), again[new]
+    first = pa.array(high[new].view(np.int64))
+    yield pa.RecordBatch.from_arrays(
+        [first, first, pa.array(low[new].view(np.int32)), *(pa.array(x[new], mask=hidden) for x in (key1, key2, at)), pa.array(hidden), pa.nulls(n, pa.binary())], schema=_KIND
+    )
+    if not again.any():
+        return
+    doc, at, key1, key2 = doc[again], at[again].astype(np.int64), key1[again], key2[again]
+    order = np.lexsort((at, doc))
+    doc, at, key1, key2 = doc[order], at[order], key1[order], key2[order]
+    cuts = np.flatnonzero(np.diff(doc)) + 1
+    heads = np.concatenate([[0], cuts])
+    m = len(heads)
+    nothing = [pa.nulls(m, _ARROW[t]) for t in ("long", "int")]
+    spans = pa.array([runs(x, width) for x in np.split(at, cuts)], pa.binary())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(key1[heads]), *nothing, pa.array(key1[heads]), pa.array(key2[heads]), pa.nulls(m, pa.int32()), pa.array(np.ones(m, bool)), spans], schema=_KIND
+    )
 
 
 def repeated_spans(texts: DataFrame, width: int, gram: int, bits: int, sketch) -> DataFrame:
@@ -190,53 +226,27 @@ def repeated_spans(texts: DataFrame, width: int, gram: int, bits: int, sketch) -
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = sketch.value
+        held: list[tuple] = []
+        seen = 0
         for batch in batches:
             key1, key2 = (batch.column(i).to_numpy() for i in (1, 2))
             done = 0
-            for texts in common.portions(common.binaries(batch.column(0))):
-                k1, k2 = key1[done : done + len(texts)], key2[done : done + len(texts)]
-                done += len(texts)
-                p = Portion(texts, width, gram)
+            for portion in common.portions(common.binaries(batch.column(0))):
+                p = Portion(portion, width, gram)
                 at = np.flatnonzero(p.whole)
-                at = at[estimated_repeated(shared, bits, p.least[at])]
-                if not len(at):
-                    continue
-                high = common.window_hashes(p.hashes, width)[at]
-                low = common.window_hashes(common.mixed(p.hashes + np.uint64(common.ODD)), width)[at]
-                order = np.lexsort((low, high))
-                at, high, low = at[order], high[order], low[order]
-                new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
-                group = np.cumsum(new) - 1
-                again = np.bincount(group)[group] > 1
-                doc, first = p.doc[at], p.ends - p.lengths
-                # one row for each distinct window; it names its document only if nothing else does
-                n = int(new.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(high[new].view(np.int64)),
-                        pa.array(high[new].view(np.int64)),
-                        pa.array(low[new].view(np.int64)),
-                        pa.array(k1[doc[new]], mask=again[new]),
-                        pa.array(k2[doc[new]], mask=again[new]),
-                        pa.array((at - first[doc])[new], mask=again[new]),
-                        pa.array(again[new]),
-                        pa.nulls(n, pa.binary()),
-                    ],
-                    schema=kind,
-                )
-                known = np.sort(at[again])
-                if len(known):
-                    of = p.doc[known]
-                    cuts = np.flatnonzero(np.diff(of)) + 1
-                    docs = of[np.concatenate([[0], cuts])]
-                    spans = [runs(s - first[d], width) for s, d in zip(np.split(known, cuts), docs, strict=True)]
-                    m = len(docs)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(k1[docs]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(k1[docs]), pa.array(k2[docs]), pa.nulls(m, pa.int64()), pa.array(np.ones(m, bool)), pa.array(spans, pa.binary())],
-                        schema=kind,
-                    )
-
-    kind = pa.schema([(n, {"long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}[t]) for n, t in (c.split() for c in WINDOWS.split(", "))])
+                at = at[estimated_repeated(shared, bits, p.least[at])] if len(at) else at
+                if len(at):
+                    high = common.window_hashes(p.hashes, width)[at]
+                    low = (common.window_hashes(common.mixed(p.hashes + np.uint64(common.ODD)), width)[at] >> np.uint64(32)).astype(np.uint32)
+                    doc = p.doc[at]
+                    held.append((high, low, key1[done + doc], key2[done + doc], (at - (p.ends - p.lengths)[doc]).astype(np.int32), seen + doc))
+                done += len(portion)
+                seen += len(portion)
+                if sum(len(h[0]) for h in held) >= HELD:
+                    yield from dealt(held, width)
+                    held = []
+        if held:
+            yield from dealt(held, width)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by window, known repeats first; the state is one row."""
@@ -267,7 +277,7 @@ def repeated_spans(texts: DataFrame, width: int, gram: int, bits: int, sketch) -
             out = repeated[group] & ~again
             rows = [k1[out], k2[out], at[out]]
             if pending is not None:
-                rows = [np.concatenate([[p], r]).astype(np.int64) for p, r in zip(pending, rows, strict=True)]
+                rows = [np.concatenate([np.array([p], r.dtype), r]) for p, r in zip(pending, rows, strict=True)]
             g = group[-1]
             alone = not repeated[g]
             last = ((high[-1], low[-1]), alone, (k1[-1], k2[-1], at[-1]) if alone else None)
@@ -277,7 +287,7 @@ def repeated_spans(texts: DataFrame, width: int, gram: int, bits: int, sketch) -
 
     rows = texts.mapInArrow(windows, WINDOWS)
     order = ["high", "low", F.desc("again")]
-    return rows.repartition("deal").sortWithinPartitions(*order).mapInArrow(grouped, "key1 long, key2 long, spans binary")
+    return rows.repartition("deal").sortWithinPartitions(*order).mapInArrow(grouped, "key1 long, key2 int, spans binary")
 
 
 def strip(text: bytes, spans: list[bytes]) -> tuple[int, int, bytes]:
@@ -296,10 +306,11 @@ def strip(text: bytes, spans: list[bytes]) -> tuple[int, int, bytes]:
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = 35, gram: int = 20, most_cells: int = 1 << 30, out: str = "stripped") -> DataFrame:
     """docs with one struct column more, named out: n_words, n_removed, kept_text."""
+    common.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
     a, b, listed = (common.fresh(docs, stem=s) for s in ("__key1", "__key2", "__spans"))
-    keyed = docs.withColumns({a: F.xxhash64(F.col(id_column).cast("string"), body), b: F.xxhash64(body, F.length(body), F.lit(1))})
+    keyed = docs.withColumns({a: F.xxhash64(F.col(id_column).cast("string"), body), b: F.hash(body, F.lit(1))})
     texts = keyed.select(body.cast("binary").alias("body"), F.col(a).alias("key1"), F.col(b).alias("key2"))
     total = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
     bits = sketch_bits(total, most_cells)
