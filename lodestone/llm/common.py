@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words that one generation of a worker's table may hold.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +40,17 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Hand whole texts to Python in batches of at most so many rows, unless the session asks for another size.
+
+    Spark's default of 10,000 rows is meant for numbers; of texts it is tens of
+    megabytes on each side.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def fresh(*frames: DataFrame, stem: str) -> str:
     """A column name that none of the frames has."""
     taken = {c.lower() for f in frames for c in f.columns}
@@ -134,7 +145,7 @@ def binaries(array: pa.Array) -> list[bytes]:
     return [x or b"" for x in array.to_pylist()]
 
 
-def portions(texts: list[bytes], most: int = 8 << 20) -> Iterator[list[bytes]]:
+def portions(texts: list[bytes], most: int = 2 << 20) -> Iterator[list[bytes]]:
     """The texts of a batch in runs of about so many bytes, each with one text at least."""
     run, size = [], 0
     for text in texts:

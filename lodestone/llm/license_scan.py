@@ -107,6 +107,7 @@ class Matcher:
 
 def own_licenses(files: DataFrame, text: str, templates: dict[str, str] = TEMPLATES, threshold: float = 0.6, rare: float = 0.1, out: str = "own") -> DataFrame:
     """files with one struct column more, named out: license, score and share of the words; nulls if none."""
+    common.small_batches(files.sparkSession)
     vocabulary = {t for x in templates.values() for t in terms(x.encode())}
     body = common.as_bytes(text)
 

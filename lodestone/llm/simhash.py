@@ -14,7 +14,7 @@ Equal fingerprints count as one node, so groups of copies cost nothing.
 Defined results: a null or empty text has fingerprint zero and links like any
 other; a text of fewer words than a shingle is one shingle; repeated rows share a
 component; null ids never name a component unless all of its ids are null; an
-empty table gives an empty table; other columns pass through.
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -66,6 +66,8 @@ def fingerprint(text: bytes, width: int = 3, lanes: int = 1) -> list[int]:
 def fingerprints(docs: DataFrame, width: int = 3, lanes: int = 1, text: str = "text", out: str = "lanes") -> DataFrame:
     """docs with one column more, named out: the lanes of each whole text."""
 
+    common.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([fingerprint(x.as_py() or b"", width, lanes) for x in texts], pa.list_(pa.int64()))
@@ -99,6 +101,8 @@ def sketches(docs: DataFrame, width: int = 5, bins: int = 128, text: str = "text
         found[at] = (hashes[first] & np.uint64(0x7FFFFFFF)).astype(np.int64)
         return found.tolist()
 
+    common.small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([one(x.as_py() or b"") for x in texts], pa.list_(pa.int32()))
@@ -128,7 +132,9 @@ def _kernel(most_bits: int, least_share: float | None):
 
 
 def components_of(marked: DataFrame, id_column: str = "doc_id", most_bits: int = 2, neighbours: list[bool] | None = None, lanes: int = 1, least_share: float | None = None) -> DataFrame:
-    """Rows with ``lanes``, and one column more: ``component_id``, the least id that links reach.
+    """The id and ``lanes`` of each row, and ``component_id``, the least id that links reach.
+
+    Other columns of marked are not read.
 
     neighbours: for each segment, whether its Hamming ball of radius one is
     enumerated. By default all but the last segment of a fingerprint of one lane
@@ -137,8 +143,8 @@ def components_of(marked: DataFrame, id_column: str = "doc_id", most_bits: int =
     agree in that share of the bins of a column ``sketch``.
     """
     neighbours = neighbours or ([True, False] if lanes == 1 and most_bits <= 2 else [True] * (2 * lanes))
-    marked = common.written(marked, "fingerprints")
     extra = [] if least_share is None else ["sketch"]
+    marked = common.written(marked.select(id_column, "lanes", *extra), "fingerprints")
     known = marked.groupBy("lanes").agg(F.min(id_column).alias("__first"), *[F.min(c).alias(c) for c in extra])
     known = common.written(known.select("lanes", "__first", *extra, F.xxhash64("lanes").alias("node") if lanes > 1 else F.col("lanes")[0].alias("node")), "nodes")
     probes = F.concat(*[_probes(_segment("lanes", s), s, near) for s, near in enumerate(neighbours)])
