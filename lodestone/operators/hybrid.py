@@ -48,7 +48,7 @@ def scan_rerank(queries: DataFrame, found: DataFrame, coded: DataFrame, book, k:
     return quantizer.rerank(near, queries, coded, k, squared_l2)
 
 
-def search(queries: DataFrame, expressions: dict[int, str], rows: DataFrame, graph: DataFrame, coded: DataFrame, book, k: int, threshold: float = 0.1, multiplier: int = 3, size: int = 64) -> DataFrame:
+def search(queries: DataFrame, expressions: dict[int, str], rows: DataFrame, graph: DataFrame, coded: DataFrame, book, k: int, threshold: float = 0.1, multiplier: int = 3, size: int = 160) -> DataFrame:
     """(qid, rank, vec_id, dist, path). Queries with fewer than k candidates return them all, by the scan."""
     found = candidates(expressions, rows).persist()
     chosen = {r["qid"]: "scan" if r["n"] <= k else r["path"] for r in routes(found, expressions, rows, threshold).collect()}  # one row for each query
