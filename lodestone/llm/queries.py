@@ -119,4 +119,21 @@ ORACLES = {
             case when page_id = first then 'response' else 'revisit' end as record_type,
             case when page_id <> first then first end as refers_to
         from d""",
+    "op9_substring_dedup": r"""
+        with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+        h as (select doc_id, s, md5(array_to_string(ws[s:s + 34], ' ')) as k from (select doc_id, ws, unnest(range(1, len(ws) - 33)) as s from w where len(ws) >= 35)),
+        r as (select doc_id, s from (select doc_id, s, count(*) over (partition by k) as c from h) where c > 1),
+        gone as (select distinct doc_id, unnest(range(s, s + 35)) as i from r),
+        each as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as i from w),
+        kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by i) as t from each anti join gone using (doc_id, i) group by doc_id)
+        select doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from w left join kept using (doc_id)""",
+    "op10_binary_codes": """
+        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+        l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+            where list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach as (select vec_id as a, vec_id as b from v union select r.a, l.b from reach r join l on l.a = r.b),
+        c as (select a as vec_id, min(b) as component_id from reach group by a),
+        n as (select a as vec_id, count(*) as n from l group by a)
+        select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept from c left join n using (vec_id)""",
 }
