@@ -6,6 +6,9 @@ splits a UTF-8 text at exactly these bytes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -51,6 +54,17 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(name, str(rows))
 
 
+def lean_worker() -> None:
+    """At the start of a task in a Python worker that earlier tasks have used: their
+    tables go (they refer to themselves, so only the collector frees them), and freed
+    memory returns to the system."""
+    gc.unfreeze()
+    gc.collect()
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fresh(*frames: DataFrame, stem: str) -> str:
     """A column name that none of the frames has."""
     taken = {c.lower() for f in frames for c in f.columns}

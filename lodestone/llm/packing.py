@@ -17,7 +17,6 @@ with any names do no harm.
 from __future__ import annotations
 
 import base64
-import gc
 import math
 import re
 from bisect import bisect_left, insort
@@ -174,8 +173,8 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str, id_column: str =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_worker()
         bpe, windows = ByteBpe(spec.value, ranks.value), OpenWindows(size, open_windows)
-        gc.freeze()
         base = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         kind: pa.Schema | None = None
