@@ -237,7 +237,7 @@ class Tokenizer:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.trie = TrieEncoder(model["vocab"], merges, model["end_of_word_suffix"])
-        self.table = common.WordTable(self.encode_chunks)
+        self.table = common.WordTable(self.encode_chunks, 100_000)
 
     def words(self, chunk: str) -> list[str]:
         """The pre-tokens of a text without white space, as byte-level strings."""
@@ -255,16 +255,20 @@ class Tokenizer:
             found += [(True, part)] if i % 2 else [(False, w) for w in self.words(part)] if part else []
         return found
 
-    def encode_chunks(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(packed 32-bit ids, tokens joined by a space) of each chunk."""
+    def encode_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk as packed 32-bit integers."""
         cut = [self.pieces(c.decode("utf-8", "replace")) for c in chunks]
         ids_of = self.trie.encode([w for ws in cut for special, w in ws if not special])
         found = []
         for ws in cut:
             ids = [i for special, w in ws for i in ((self.added[w],) if special else ids_of[w])]
-            found.append((struct.pack(f"<{len(ids)}i", *ids), " ".join([self.token_of[i] for i in ids]).encode()))
+            found.append(struct.pack(f"<{len(ids)}i", *ids))
         return found
 
+    def decode(self, packed: bytes) -> bytes:
+        """The tokens joined by a space, as the library decodes without a decoder."""
+        return " ".join(map(self.token_of.__getitem__, np.frombuffer(packed, "<i4").tolist())).encode()
+
 
 def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", out: str = "bpe") -> DataFrame:
     """docs with one struct column more, named out: ``ids`` and the ``decoded`` text.
@@ -278,18 +282,18 @@ def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", out: str =
     kind = pa.struct([("ids", pa.list_(pa.field("element", pa.int32(), False))), ("decoded", pa.string())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        common.lean_worker()
         tokenizer = Tokenizer(spec.value)
         table = tokenizer.table
-        gc.freeze()  # the tables hold no cycles; do not walk them again and again
+        gc.freeze()  # the automaton has many small parts; do not walk them again and again
         for texts in batches:
             packed, decoded = [], []
             for portion in common.portions(common.binaries(texts)):
                 words = [x.split() for x in portion]
                 table.admit(words)
                 for ws in words:
-                    values = [table[w] for w in ws]
-                    packed.append(b"".join([v[0] for v in values]))
-                    decoded.append(b" ".join([v[1] for v in values if v[1]]))
+                    packed.append(b"".join(map(table.__getitem__, ws)))
+                    decoded.append(tokenizer.decode(packed[-1]))
             offsets = np.zeros(len(packed) + 1, np.int64)
             np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
             flat = np.frombuffer(b"".join(packed), "<i4")
