@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import math
 import re
+import struct
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -34,6 +35,8 @@ from lodestone.llm import common
 
 #: Leftover windows that one task packs.
 MERGE_GROUP = 20_000
+#: Chunks that one generation of a worker's table holds; rare ones cost more here than elsewhere.
+CHUNK_ENTRIES = 500_000
 
 
 class ByteBpe:
@@ -55,10 +58,11 @@ class ByteBpe:
         import tokenizers
 
         self.library = tokenizers.Tokenizer.from_str(spec)
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added)) if added else None
         pairs = (line.split() for line in ranks.splitlines() if line)
         self.ranks = tiktoken.Encoding("ranks", pat_str=self.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
-        self.table = common.WordTable(self.encode_chunks)
+        self.table = common.WordTable(self.encode_chunks, CHUNK_ENTRIES)
 
     def encode_chunks(self, chunks: list[bytes]) -> list[bytes | None]:
         """Packed ids of each key; None for a chunk that must not be cut off here.
@@ -74,8 +78,9 @@ class ByteBpe:
             if mark != b"\xfe" and (not chunk or chunk[0].isspace() or chunk[-1].isspace()):
                 continue
             text = chunk if mark in (b"\xff", b"\xfe") else " " + chunk
-            if self._LATIN.fullmatch(text) and not any(a in text for a in self.added):
-                found[i] = np.array(self.ranks.encode_ordinary(text), "<u4").tobytes()
+            if self._LATIN.fullmatch(text) and not (self.special and self.special.search(text)):
+                ids = self.ranks.encode_ordinary(text)
+                found[i] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 others.append((i, text))
         if others:
@@ -93,7 +98,7 @@ class ByteBpe:
             cut.append(keys)
         self.table.admit(cut)
         for text, keys in zip(texts, cut, strict=True):
-            values = [self.table[k] for k in keys]
+            values = list(map(self.table.__getitem__, keys))
             if None in values:
                 keys = [b"\xfe" + c.encode() for c in self._BORDER.split(text.decode("utf-8", "replace")) if c]
                 values = self.encode_chunks(keys)
