@@ -237,7 +237,7 @@ class Tokenizer:
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.trie = TrieEncoder(model["vocab"], merges, model["end_of_word_suffix"])
-        self.table = common.WordTable(self.encode_chunks, 100_000)
+        self.table = common.WordTable(self.encode_chunks, 300_000)
 
     def words(self, chunk: str) -> list[str]:
         """The pre-tokens of a text without white space, as byte-level strings."""
