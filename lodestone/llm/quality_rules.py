@@ -3,10 +3,11 @@
 Every whole text is split into words; each word is encoded once per worker by a
 public vocabulary with byte fallback. Characters per token, the share of
 byte-fallback tokens and the entropy of the tokens must lie in the bands of the
-document's language.
+document's language, or of the text's script if its language has none.
 
 Defined results: a null or empty text has no words, so it fails the base rules;
-an unknown or null language takes the band ``*``; repeated rows and ties are
+an unknown or null language takes the band of the text's script, and ``*`` if that
+has none; repeated rows and ties are
 judged alike; an empty table gives an empty table; other columns pass through
 whatever their names. Measures are null where there are no tokens.
 """
@@ -44,15 +45,42 @@ class Band:
     slack: float = 1.5
 
 
-#: Bands that clean prose of these languages keeps under the 32k vocabulary.
+#: Bands by language, else by the script that most letters of the text have, else ``*``.
+#: High ends are above real prose under the 32k vocabulary (characters a token: English
+#: reference prose 2.4-4.2, other Latin passages 1.9-2.9, Cyrillic 2.1-2.2); low ends are
+#: above fragments (random Latin letters 1.5). Scripts that the vocabulary spells letter
+#: by letter lie near 1, so there the share of fallback and the entropy decide.
 BANDS = {
-    "en": Band(1.88, 2.50),
-    "de": Band(1.95, 2.55),
-    "es": Band(1.72, 2.18),
-    "fr": Band(1.72, 2.25),
+    "en": Band(1.88, 5.00),
+    "de": Band(1.95, 4.50),
+    "es": Band(1.72, 4.50),
+    "fr": Band(1.72, 4.50),
+    "vi": Band(0.90, 3.00, fallback=0.15),
+    "Latn": Band(1.65, 5.00),
+    "Cyrl": Band(1.60, 4.50),
+    "Grek": Band(0.70, 2.50, entropy_floor=3.8),
+    "Arab": Band(0.70, 2.50, fallback=0.15, entropy_floor=3.8),
+    "Hebr": Band(0.70, 2.50, fallback=0.15, entropy_floor=3.5),
+    "Deva": Band(0.50, 2.00, fallback=0.25, entropy_floor=3.8),
+    "Thai": Band(0.60, 2.00, fallback=0.25, entropy_floor=3.8),
+    "Geor": Band(0.60, 2.00, fallback=0.15, entropy_floor=3.5),
+    "Hang": Band(0.45, 2.00, fallback=0.40),
+    "Kana": Band(0.50, 2.00, fallback=0.40),
+    "Hani": Band(0.50, 2.00, fallback=0.40),
     "*": Band(0.60, 8.00, fallback=0.50, entropy_floor=3.5),
 }
 
+#: First code point of each range and its script, "" for what no script is told from.
+_RANGES = [
+    (0x0, ""), (0x41, "Latn"), (0x5B, ""), (0x61, "Latn"), (0x7B, ""), (0xC0, "Latn"), (0x250, ""), (0x370, "Grek"), (0x400, "Cyrl"), (0x530, "*"), (0x590, "Hebr"), (0x600, "Arab"),
+    (0x700, "*"), (0x750, "Arab"), (0x780, "*"), (0x8A0, "Arab"), (0x900, "Deva"), (0x980, "*"), (0xE00, "Thai"), (0xE80, "*"), (0x10A0, "Geor"), (0x1100, "Hang"), (0x1200, "*"), (0x1E00, "Latn"),
+    (0x1F00, "Grek"), (0x2000, ""), (0x2C00, "*"), (0x2E80, ""), (0x3040, "Kana"), (0x3100, ""), (0x3400, "Hani"), (0x4DC0, ""), (0x4E00, "Hani"), (0xA000, "*"), (0xAC00, "Hang"), (0xD7B0, ""), (0xF900, "Hani"),
+    (0xFB00, ""), (0xFB1D, "Hebr"), (0xFB50, "Arab"), (0xFE00, ""), (0xFE70, "Arab"), (0xFF00, ""), (0x10000, "*"), (0x1F000, ""), (0x20000, "Hani"), (0x32000, ""),
+]
+_FROM = np.array([r[0] for r in _RANGES])
+_SCRIPTS = sorted({r[1] for r in _RANGES} - {""})
+_SCRIPT_OF = np.array([_SCRIPTS.index(r[1]) if r[1] else len(_SCRIPTS) for r in _RANGES])
+
 _NOT_WORD_CHARS = bytes(range(0x80, 0xC0)) + b" \t\n\v\f\r"
 _SYMBOLS = b"#*$%&|<>"
 
@@ -97,6 +125,16 @@ def repeated_words(hashes: np.ndarray, width: int = 8) -> int:
     return int(common.covered(np.flatnonzero(again), width, len(hashes)).sum())
 
 
+def script(text: bytes) -> str:
+    """The script of most letters; Japanese is told by a tenth of kana; ``*`` if there are none or it has no band."""
+    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4")
+    n = np.bincount(_SCRIPT_OF[np.searchsorted(_FROM, points, side="right") - 1], minlength=len(_SCRIPTS) + 1)[:-1]
+    if not n.any():
+        return "*"
+    found = _SCRIPTS[int(n.argmax())]
+    return "Kana" if found == "Hani" and n[_SCRIPTS.index("Kana")] * 10 >= n.sum() else found
+
+
 def base_counts(text: bytes, words: list[bytes]) -> tuple[int, int, int, int]:
     lines = [x for x in text.split(b"\n") if x.strip()]
     return (
@@ -119,7 +157,7 @@ def judge(text: bytes, words: list[bytes], lang: str | None, pieces: Pieces, ban
     entropy = float(-(counts * np.log2(counts)).sum()) + 0.0
     fallback = float(pieces.is_byte[ids].mean())
     per_token = chars / len(ids)
-    band = bands.get(lang or "*") or bands["*"]
+    band = bands[lang] if lang in bands else bands.get(script(text), bands["*"])
     slack = band.slack / math.sqrt(len(ids))
     good = (
         band.low - slack <= per_token <= band.high + slack
