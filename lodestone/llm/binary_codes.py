@@ -9,15 +9,15 @@ estimate of ``<x, q>``, and its error is below
 ``exp(-epsilon**2)``. Only pairs whose upper bound reaches the threshold are
 recomputed, exactly, in double precision.
 
-Candidates: vectors of one label meet in the buckets of several hash tables, each
+Candidates: vectors of one label and length meet in the buckets of several hash tables, each
 keyed by signs on further rotations. The number of signs grows with the logarithm
 of the largest label's size, and the number of tables follows from it and the
 recall asked for at the threshold. Equal vectors of a label count as one node; a
 pair that meets in several tables is counted in the first of them; large buckets
 are compared block by block, and no pair leaves a block as a row.
 
-Defined results: vectors that are null, zero, of another length than most, or hold
-null or non-finite components link with nothing, as do rows with a null label;
+Defined results: vectors of different lengths do not link; vectors that are null, zero
+or hold null or non-finite components link with nothing, as do rows with a null label;
 they are their own component and are kept. Repeated rows link with each other. An
 empty table gives an empty table; other columns are not read.
 """
@@ -26,21 +26,30 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import common, linking
 
 
+@lru_cache(16)
 def rotation(dimension: int, seed: int) -> np.ndarray:
     """A random orthogonal matrix."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dimension, dimension)))
     return q * np.sign(np.diag(r))
 
 
+@lru_cache(16)
+def planes(dimension: int, n: int, seed: int) -> np.ndarray:
+    """So many directions from further rotations."""
+    return np.concatenate([rotation(dimension, seed + 1 + k) for k in range(math.ceil(n / dimension))])[:n]
+
+
 def plan(largest: int, threshold: float, recall: float, bucket: int = 32) -> tuple[int, int]:
     """(signs of a key, tables) for labels of so many vectors.
 
@@ -57,20 +66,25 @@ class Kernel:
 
     def __init__(self, threshold: float, epsilon: float, dimension: int, tables: int, seed: int):
         self.threshold, self.epsilon = threshold, epsilon
-        self.turn = rotation(dimension, seed)
+        self.turns = {dimension: rotation(dimension, seed)}
+        self.seed = seed
         self.tables = tables
         self.seen = self.recomputed = 0
 
+    def turn(self, dimension: int) -> np.ndarray:
+        """The rotation of the length that most vectors have, or of another."""
+        return self.turns[dimension] if dimension in self.turns else rotation(dimension, self.seed)
+
     def code(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rotated vectors, codes of length one, and correction factors."""
-        turned = unit @ self.turn.T
+        turned = unit @ self.turn(unit.shape[1]).T
         signs = np.where(turned >= 0, 1.0, -1.0) / math.sqrt(unit.shape[1])
         return turned, signs, (turned * signs).sum(1)
 
     def estimates(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Estimated inner products of all pairs, from the codes of left, and their bounds."""
         _, codes, factors = self.code(left)
-        turned = right @ self.turn.T
+        turned = right @ self.turn(right.shape[1]).T
         bound = self.epsilon * np.sqrt((1 - factors**2).clip(0) / (factors**2 * max(left.shape[1] - 1, 1)))
         return (codes @ turned.T) / factors[:, None], bound[:, None]
 
@@ -105,33 +119,33 @@ def links(vectors: DataFrame, id_column: str = "vec_id", vector: str = "embeddin
         rows.where("__good").groupBy("__label", "__v").agg(F.count(F.lit(1)).alias("copies"), F.min(id_column).alias("__first"))
         .withColumn("node", F.xxhash64("__label", "__v")), "vectors",
     )
-    stats = shared.groupBy("__label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("__v")).alias("d")).agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
+    sizes = shared.groupBy("__label", F.size("__v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    stats = sizes.agg(F.max("n").alias("n"), F.max_by("d", F.struct("n", "d")).alias("d")).first()
     largest, dimension = stats["n"] or 0, stats["d"] or 1
     signs, tables = plan(largest, threshold, recall)
-    planes = np.concatenate([rotation(dimension, seed + 1 + k) for k in range(math.ceil(signs * tables / dimension))])[: signs * tables]
+    ready = {dimension: planes(dimension, signs * tables, seed)}
     weights = 1 << np.arange(signs, dtype=np.int64)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            fits = np.array([len(v) == dimension for v in lists], bool)
-            batch = batch.filter(pa.array(fits))
-            if not batch.num_rows:
-                continue
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
-            v = v / np.abs(v).max(1, keepdims=True)
-            unit = v / np.sqrt((v * v).sum(1, keepdims=True))
-            met = ((unit @ planes.T >= 0).reshape(-1, tables, signs) * weights).sum(2)
-            offsets = pa.array(np.arange(len(v) + 1) * dimension, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(unit.ravel())), pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * tables, pa.int32()), pa.array(met.ravel())), batch.column(2)],
-                names=["node", "unit", "met", "copies"],
-            )
+        for mixed in batches:
+            lengths = pc.list_value_length(mixed.column(1)).to_numpy(zero_copy_only=False)
+            for d in np.unique(lengths).tolist():
+                batch = mixed.filter(pa.array(lengths == d))
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+                v = v / np.abs(v).max(1, keepdims=True)
+                unit = v / np.sqrt((v * v).sum(1, keepdims=True))
+                turned = unit @ (ready[d] if d in ready else planes(d, signs * tables, seed)).T
+                met = ((turned >= 0).reshape(-1, tables, signs) * weights).sum(2)
+                offsets = pa.array(np.arange(len(v) + 1) * d, pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(unit.ravel())), pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * tables, pa.int32()), pa.array(met.ravel())), batch.column(2)],
+                    names=["node", "unit", "met", "copies"],
+                )
 
     coded = common.written(shared.select("node", "__v", "copies").mapInArrow(keys, "node long, unit array<double>, met array<long>, copies long"), "codes")
-    dealt = coded.join(shared.select("node", "__label"), "node").select("node", "__label", F.posexplode("met").alias("table", "key"))
+    dealt = coded.join(shared.select("node", "__label", F.size("__v").alias("length")), "node").select("node", "__label", "length", F.posexplode("met").alias("table", "key"))
     kernel = lambda: Kernel(threshold, epsilon, dimension, tables, seed)
-    found = linking.bucket_links(dealt, ["__label", "table", "key"], coded, "node", kernel, weight="copies")
+    found = linking.bucket_links(dealt, ["__label", "length", "table", "key"], coded, "node", kernel, weight="copies")
     found = common.written(found, "links")
     degree = found.groupBy("node").agg(F.sum("links").alias("__linked"))
     roots = linking.components(found.select("node", "rep"), "node", "rep")
