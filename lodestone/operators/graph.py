@@ -2,16 +2,18 @@
 
 Building follows the published greedy construction: search from the medoid, prune
 the visited nodes so that a kept neighbour covers what lies near it, link back.
-Searching sends a bounded query set to all shards and merges their best rows.
+Searching sends blocks of queries to all shards and merges their best rows.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -131,8 +133,9 @@ def merged(graph: DataFrame, degree: int) -> DataFrame:
     return ranked.groupBy(F.col("qid").alias("vec_id")).agg(F.array_sort(F.collect_list("vec_id")).alias("nbrs"))
 
 
-def search(graph: DataFrame, queries: DataFrame, k: int, size: int = 64, mode: str = "greedy", width: int = 4, book=None, allowed: DataFrame | None = None, most_queries: int = knn.QUERY_BLOCK) -> DataFrame:
-    """(qid, rank, vec_id, dist): each shard searches for each query; the best k of all shards stay.
+def search(graph: DataFrame, queries: DataFrame, k: int, size: int = 64, mode: str = "greedy", width: int = 4, book=None, allowed: DataFrame | None = None, most_queries: int | None = None) -> DataFrame:
+    """(qid, rank, vec_id, dist): each shard searches for each query, in blocks of most_queries
+    (knn.QUERY_BLOCK); the best k of all shards stay.
 
     greedy: exact distances lead, the best list is the result. beam (also "page",
     "pipe" and "interleaved", which differ in how they read, not in what they
@@ -140,12 +143,14 @@ def search(graph: DataFrame, queries: DataFrame, k: int, size: int = 64, mode: s
     are the result, by exact distance. allowed (qid, vec_id): only these are
     returned; navigation is not restricted.
     """
-    spark = graph.sparkSession
-    block = queries.select("qid", "qv").limit(most_queries + 1).toPandas()
-    if len(block) > most_queries:
-        raise ValueError("too many queries for one search; pass them in blocks")
-    asked = [(int(i), np.asarray(v, np.float64)) for i, v in zip(block["qid"], block["qv"], strict=True)]
-    shared = spark.sparkContext.broadcast((asked, book))
+    found = [_search(graph, block, k, size, mode, width, book, allowed) for block in knn.blocks(queries.select("qid", "qv"), most_queries)]
+    return knn.top(reduce(DataFrame.unionByName, found), k).select("qid", "rank", "vec_id", "dist")
+
+
+def _search(graph: DataFrame, block: pa.Table, k: int, size: int, mode: str, width: int, book, allowed: DataFrame | None) -> DataFrame:
+    """(qid, vec_id, dist) of one block of queries, up to k rows of each shard."""
+    asked = [(int(i), np.asarray(v, np.float64)) for i, v in zip(block["qid"].to_pylist(), block["qv"].to_pylist(), strict=True)]
+    shared = graph.sparkSession.sparkContext.broadcast((asked, book))
 
     def results(pdf: pd.DataFrame, only: dict[int, set[int]] | None) -> pd.DataFrame:
         qs, codes = shared.value
@@ -188,7 +193,7 @@ def search(graph: DataFrame, queries: DataFrame, k: int, size: int = 64, mode: s
             return results(p, {int(q): set(g) for q, g in a.groupby("qid")["vec_id"]})
 
         found = graph.groupBy("shard").cogroup(places.groupBy("place")).applyInPandas(pair, schema)
-    return knn.top(found.dropDuplicates(["qid", "vec_id"]), k).select("qid", "rank", "vec_id", "dist")
+    return found.dropDuplicates(["qid", "vec_id"])
 
 
 def repaired(graph: DataFrame, deleted: DataFrame, sample: int | None = None) -> DataFrame:

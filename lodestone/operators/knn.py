@@ -69,6 +69,37 @@ def exact_knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", s
     return top(reduce(DataFrame.unionByName, found), k).select("qid", "rank", "vec_id", "dist")
 
 
+def blocks(queries: DataFrame, most: int | None = None) -> Iterator[pa.Table]:
+    """The queries in blocks of at most so many, as Arrow tables; one empty block if there are none."""
+    rows = queries.orderBy("qid")
+    most = most or QUERY_BLOCK
+    for at in range(0, max(rows.count(), 1), most):
+        yield rows.offset(at).limit(most).toArrow()
+
+
+def within(queries: DataFrame, base: DataFrame, metric: str = "l2") -> DataFrame:
+    """(qid, vec_id, dist) of all rows no farther from a query (qid, qv, most) than its distance most."""
+    kernel = vectors.METRICS[metric][1]
+    found = []
+    for block in blocks(queries.select("qid", "qv", "most")):
+        ids = block["qid"].to_numpy()
+        shared = base.sparkSession.sparkContext.broadcast((ids, matrix(block["qv"]) if len(ids) else np.zeros((0, 1)), block["most"].to_numpy()))
+
+        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qids, q, most = shared.value
+            for batch in batches:
+                if not batch.num_rows or not len(qids):
+                    continue
+                base_ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
+                i, j = np.nonzero(kernel(q, x) <= most[:, None] + 1e-6)
+                dist = vectors.exact(metric, q[i], x[j])
+                good = dist <= most[i]
+                yield pa.RecordBatch.from_arrays([pa.array(qids[i][good]), pa.array(base_ids[j][good]), pa.array(dist[good])], ["qid", "vec_id", "dist"])
+
+        found.append(base.select("vec_id", "embedding").mapInArrow(near, "qid long, vec_id long, dist double"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def restrict_truth(truth: DataFrame, start: int, end: int, k: int) -> DataFrame:
     """Truth rows whose id lies in [start, end), ranked anew; only queries that keep k of them."""
     kept = top(truth.where(F.col("vec_id").between(start, end - 1)).drop("rank"), k)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,11 +101,14 @@ def decode(coded: DataFrame, book: Codebook) -> DataFrame:
 def scan(queries: DataFrame, coded: DataFrame, book: Codebook, k: int, symmetric: bool = False) -> DataFrame:
     """(qid, rank, vec_id, dist) by codes alone: to the query itself, or to its code if symmetric.
 
-    queries (qid, qv) are a stated, bounded set; each task keeps k rows for each.
+    queries (qid, qv) go in blocks, one pass each; each task keeps k rows for each query.
     """
-    block = queries.select("qid", "qv").limit(knn.QUERY_BLOCK + 1).toArrow()
-    if len(block) > knn.QUERY_BLOCK:
-        raise ValueError("too many queries for one scan; pass them in blocks")
+    found = [_scan(block, coded, book, k, symmetric) for block in knn.blocks(queries.select("qid", "qv"))]
+    return knn.top(reduce(DataFrame.unionByName, found), k).select("qid", "rank", "vec_id", "dist")
+
+
+def _scan(block: pa.Table, coded: DataFrame, book: Codebook, k: int, symmetric: bool) -> DataFrame:
+    """(qid, vec_id, dist) of one block of queries, k rows of each batch."""
     q = matrix(block["qv"]) if len(block) else np.zeros((0, len(book.mean)))
     if symmetric:
         between = book.between()
@@ -124,8 +128,7 @@ def scan(queries: DataFrame, coded: DataFrame, book: Codebook, k: int, symmetric
                 near = np.lexsort((ids, dist))[:k]
                 yield pa.RecordBatch.from_arrays([pa.array([qid] * len(near), pa.int64()), pa.array(ids[near]), pa.array(dist[near])], ["qid", "vec_id", "dist"])
 
-    found = coded.select("vec_id", "code").mapInArrow(run, "qid long, vec_id long, dist double")
-    return knn.top(found, k).select("qid", "rank", "vec_id", "dist")
+    return coded.select("vec_id", "code").mapInArrow(run, "qid long, vec_id long, dist double")
 
 
 def rerank(near: DataFrame, queries: DataFrame, base: DataFrame, k: int, distance) -> DataFrame:
