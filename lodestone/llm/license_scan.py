@@ -2,8 +2,8 @@
 
 Each line of a file and the whole file are compared with the templates by the
 cosine of their sparse TF-IDF vectors; the document frequencies are counted over
-all files. A line or file is scored if it holds an anchor, a template term that
-few files hold. A file whose licence words make up a given share of it speaks for
+all files. A line or file is scored if it holds an anchor, a template term that is
+no everyday word; how many files hold the term does not matter. A file whose licence words make up a given share of it speaks for
 its directory; a file without a licence of its own takes that of its nearest
 ancestor directory, by joins on paths.
 
@@ -55,16 +55,24 @@ def terms(text: bytes) -> list[bytes]:
     return _TERM.findall(text.lower())
 
 
+#: Words and figures that tell no licence by themselves.
+EVERYDAY = frozenset("a all any are as be by except file for from in is it may not obtaining of on or other person program software subject terms that the this to under use version with without work you your".encode().split()) | frozenset(
+    b"and can copy copyright deal form forms free into international license licensed licenses released source universal domain v".split()
+)
+
+
 class Matcher:
     """Templates as unit vectors in an inverted index."""
 
-    def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], files: int, rare: float):
+    def __init__(self, templates: dict[str, str], frequency: dict[bytes, int], files: int, rare: float = 0.1):
+        # rare once bounded how many files may hold an anchor; callers may still give it
         counted = [Counter(terms(t.encode())) for t in templates.values()]
         vocabulary = sorted(set().union(*counted))
         self.names = [n.strip() for n in templates]
         self.idf = {t: math.log((1 + files) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary}
         self.unknown = math.log(1 + files) + 1
-        self.anchors = {t for t in vocabulary if frequency.get(t, 0) <= rare * files and not t.isdigit()}
+        self.anchors = {t for t in vocabulary if t not in EVERYDAY and not re.fullmatch(rb"[0-9.-]+", t)}
+        self.anchors |= {t for c in counted if self.anchors.isdisjoint(c) for t in c}
         self.index: dict[bytes, list[tuple[int, float]]] = {t: [] for t in vocabulary}
         for i, counts in enumerate(counted):
             norm = math.sqrt(sum((n * self.idf[t]) ** 2 for t, n in counts.items()))
