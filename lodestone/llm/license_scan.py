@@ -1,11 +1,14 @@
 """License scans: TF-IDF cosine to templates, then inheritance along directories.
 
-Each line of a file and the whole file are compared with the templates by the
-cosine of their sparse TF-IDF vectors; the document frequencies are counted over
-all files. A line or file is scored if it holds an anchor, a template term that is
-no everyday word; how many files hold the term does not matter. A file whose licence words make up a given share of it speaks for
-its directory; a file without a licence of its own takes that of its nearest
-ancestor directory, by joins on paths.
+Each line of a file, each run of two to four lines and the whole file are compared
+with the statements of ``TEMPLATES``, and the whole file with the full licence texts
+in ``licenses/``, by the cosine of their sparse TF-IDF vectors; the document
+frequencies are counted over all files. What is compared holds an anchor, a template
+term that is no everyday word; how many files hold the term does not matter. A file
+that is a licence text has that licence; else the best statement counts, and
+``Proprietary`` only if no other does. A file whose licence words make up a given
+share of it (all, if it is a licence text) speaks for its directory; a file without a
+licence of its own takes that of its nearest ancestor directory, by joins on paths.
 
 Defined results: a null or empty text has no licence of its own; a null path has no
 directory and inherits nothing; ties go to the template that is named first, and
@@ -16,6 +19,7 @@ are judged alike; an empty table gives an empty table; other columns pass throug
 from __future__ import annotations
 
 import math
+import pkgutil
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -55,6 +59,21 @@ def terms(text: bytes) -> list[bytes]:
     return _TERM.findall(text.lower())
 
 
+#: Lines that a statement may run over.
+LINES = 4
+
+
+def full_texts() -> dict[str, str]:
+    """The full texts of licences, under their public identifiers."""
+    names = ["Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0"]
+    return {n: pkgutil.get_data("lodestone.llm", f"licenses/{n}.txt").decode() for n in names}
+
+
+def telling(templates: dict[str, str]) -> dict[str, str]:
+    """The templates without everyday words."""
+    return {n: b" ".join(t for t in terms(x.encode()) if t not in EVERYDAY).decode() for n, x in templates.items()}
+
+
 #: Words and figures that tell no licence by themselves.
 EVERYDAY = frozenset("a all any are as be by except file for from in is it may not obtaining of on or other person program software subject terms that the this to under use version with without work you your".encode().split()) | frozenset(
     b"and can copy copyright deal form forms free into international license licensed licenses released source universal domain v".split()
@@ -93,30 +112,40 @@ class Matcher:
         top = max(range(len(dots)), key=lambda i: (dots[i], -i))
         return (dots[top] / math.sqrt(square), -top) if dots[top] > 0 else None
 
-    def scan(self, text: bytes, threshold: float) -> tuple[str | None, float | None, float | None]:
-        found: tuple[float, int, int] | None = None
-        total = 0
-        whole: list[bytes] = []
-        for line in text.split(b"\n"):
-            words = terms(line)
-            total += len(words)
-            whole += words
+    def scan(self, text: bytes, threshold: float, texts: Matcher | None = None, whole_threshold: float = 0.75) -> tuple[str | None, float | None, float | None]:
+        lines = [x for x in map(terms, text.split(b"\n")) if x]
+        whole = [t for x in lines for t in x]
+        # by other than everyday words, which any two long texts share
+        match = texts.best([t for t in whole if t not in EVERYDAY]) if texts else None
+        if match and match[0] >= whole_threshold:
+            return texts.names[-match[1]], match[0], 1.0
+        found: dict[bool, tuple[float, int, int]] = {}
+
+        def take(words: list[bytes]) -> None:
             match = self.best(words)
-            if match and (found is None or match > found[:2]):
-                found = (*match, len(words))
-        if total and b"\n" in text and found:
-            match = self.best(whole)
-            if match and match > found[:2]:
-                found = (*match, total)
-        if found is None or found[0] < threshold:
-            return None, None, None
-        return self.names[-found[1]], found[0], found[2] / total
+            if match and match[0] >= threshold:
+                named = self.names[-match[1]] != "Proprietary"
+                if named not in found or match > found[named][:2]:
+                    found[named] = (*match, len(words))
+
+        told = [not self.anchors.isdisjoint(x) for x in lines]
+        for at in range(len(lines)):
+            if told[at]:
+                take(lines[at])
+            for n in range(2, min(LINES, len(lines) - at) + 1):
+                if any(told[at : at + n]):
+                    take([t for x in lines[at : at + n] for t in x])
+        if any(told) and len(lines) > LINES:
+            take(whole)
+        best = found.get(True) or found.get(False)
+        return (self.names[-best[1]], best[0], best[2] / len(whole)) if best else (None, None, None)
 
 
 def own_licenses(files: DataFrame, text: str, templates: dict[str, str] = TEMPLATES, threshold: float = 0.6, rare: float = 0.1, out: str = "own") -> DataFrame:
     """files with one struct column more, named out: license, score and share of the words; nulls if none."""
     common.small_batches(files.sparkSession)
-    vocabulary = {t for x in templates.values() for t in terms(x.encode())}
+    whole = telling(full_texts())
+    vocabulary = {t for x in [*templates.values(), *whole.values()] for t in terms(x.encode())}
     body = common.as_bytes(text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,12 +160,14 @@ def own_licenses(files: DataFrame, text: str, templates: dict[str, str] = TEMPLA
 
     # at most one row for each term of the templates comes to the driver
     found = {bytes(r["term"]): r["n"] for r in files.select(body.alias("t")).mapInArrow(count, "term binary, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    matcher = files.sparkSession.sparkContext.broadcast(Matcher(templates, found, found.pop(b"", 0), rare))
+    n = found.pop(b"", 0)
+    matchers = files.sparkSession.sparkContext.broadcast((Matcher(templates, found, n, rare), Matcher(whole, found, n, rare)))
     kind = pa.struct([("license", pa.string()), ("score", pa.float64()), ("share", pa.float64())])
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = [matcher.value.scan(x, threshold) for x in common.binaries(texts)]
+            lines, whole = matchers.value
+            rows = [lines.scan(x, threshold, whole) for x in common.binaries(texts)]
             columns = zip(*rows, strict=True) if rows else [()] * 3
             yield pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
 
