@@ -9,8 +9,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -24,23 +26,39 @@ TABLE_ENTRIES = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; only where
-    the session has none, a temporary one is set (local runs and tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; only a local
+    session that names none gets a temporary one, on a cluster that is an error."""
     sc = spark.sparkContext
     folder = sc._jsc.sc().getCheckpointDir()
     if folder.isDefined():
         return folder.get()
     conf = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(conf or "file://" + tempfile.mkdtemp(prefix="lodestone-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back."""
+#: The folders of tables that ``written`` made, as long as their frames are held.
+_FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def written(df: DataFrame, name: str = "step", instead_of: Iterable[DataFrame] = ()) -> DataFrame:
+    """Cut the lineage: write df as Parquet to the shared folder and read it back.
+
+    Tables of earlier calls that only df was made from can be named in instead_of;
+    they are deleted once df is written.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[found] = path
+    for old in instead_of:
+        if folder := _FOLDERS.pop(old, None):
+            place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return found
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:

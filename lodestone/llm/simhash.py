@@ -9,12 +9,15 @@ are verified on all bits. With one lane and two bits, the second segment needs
 no neighbours: if the first differs in two bits, the second is equal.
 
 A pair at distance one in a segment is met once, from the side whose bit is 0.
-Equal fingerprints count as one node, so groups of copies cost nothing.
+Equal fingerprints count as one node, so groups of copies cost nothing, and nodes that
+links have joined already are not compared again.
 
 Defined results: a null or empty text has fingerprint zero and links like any
 other; a text of fewer words than a shingle is one shingle; repeated rows share a
-component; null ids never name a component unless all of its ids are null; an
-empty table gives an empty table.
+component; texts of any length are read whole; null ids never name a component unless
+all of its ids are null, and of tied ids the least names it; an empty table gives an
+empty table. Of ``fingerprints`` other columns pass through, and a column that has the
+result's name gives way to it; ``components_of`` reads its two columns alone.
 """
 
 from __future__ import annotations
@@ -91,48 +94,20 @@ def _probes(segment: F.Column, s: int, neighbours: bool) -> F.Column:
     return F.concat(own, F.filter(set_bits, lambda x: x.isNotNull()))
 
 
-def sketches(docs: DataFrame, width: int = 5, bins: int = 128, text: str = "text", out: str = "sketch") -> DataFrame:
-    """docs with one column more, named out: the least shingle hash in each of so many bins, -1 if none."""
-    shift = np.uint64(64 - int(bins).bit_length() + 1)
-
-    def one(body: bytes) -> list[int]:
-        hashes = np.unique(shingle_hashes(body, width))
-        at, first = np.unique((hashes >> shift).astype(np.int64), return_index=True)
-        found = np.full(bins, -1, np.int64)
-        found[at] = (hashes[first] & np.uint64(0x7FFFFFFF)).astype(np.int64)
-        return found.tolist()
-
-    common.small_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array([one(x.as_py() or b"") for x in texts], pa.list_(pa.int32()))
-
-    return docs.withColumn(out, F.arrow_udf(run, "array<int>")(common.as_bytes(text)))
-
-
-def _kernel(most_bits: int, least_share: float | None):
-    """Links of at most so many bits and, if asked for, sketches that agree in such a share of their bins."""
+def _kernel(most_bits: int):
+    """Links of at most so many bits."""
 
     def kernel(left: dict[str, np.ndarray], right: dict[str, np.ndarray]) -> np.ndarray:
         x, y = left["lanes"].astype(np.int64).view(np.uint64), right["lanes"].astype(np.int64).view(np.uint64)
         distance = np.zeros((len(x), len(y)), np.uint16)
         for lane in range(x.shape[1]):
             distance += np.bitwise_count(x[:, lane, None] ^ y[None, :, lane])
-        links = distance <= most_bits
-        if least_share is not None:
-            i, j = np.nonzero(links)
-            for at in range(0, len(i), 1 << 13):
-                p, q = i[at : at + (1 << 13)], j[at : at + (1 << 13)]
-                a, b = left["sketch"][p], right["sketch"][q]
-                used = ((a >= 0) | (b >= 0)).sum(1)
-                links[p, q] = ((a == b) & (a >= 0)).sum(1) >= least_share * used
-        return links
+        return distance <= most_bits
 
     return kernel
 
 
-def components_of(marked: DataFrame, id_column: str = "doc_id", most_bits: int = 2, neighbours: list[bool] | None = None, lanes: int = 1, least_share: float | None = None) -> DataFrame:
+def components_of(marked: DataFrame, id_column: str = "doc_id", most_bits: int = 2, neighbours: list[bool] | None = None, lanes: int = 1) -> DataFrame:
     """The id and ``lanes`` of each row, and ``component_id``, the least id that links reach.
 
     Other columns of marked are not read.
@@ -140,18 +115,15 @@ def components_of(marked: DataFrame, id_column: str = "doc_id", most_bits: int =
     neighbours: for each segment, whether its Hamming ball of radius one is
     enumerated. By default all but the last segment of a fingerprint of one lane
     and two bits. The links are complete while ``most_bits`` is less than twice
-    the enumerated segments plus the others. With least_share, a link must also
-    agree in that share of the bins of a column ``sketch``.
+    the enumerated segments plus the others.
     """
     neighbours = neighbours or ([True, False] if lanes == 1 and most_bits <= 2 else [True] * (2 * lanes))
-    extra = [] if least_share is None else ["sketch"]
-    marked = common.written(marked.select(id_column, "lanes", *extra), "fingerprints")
-    known = marked.groupBy("lanes").agg(F.min(id_column).alias("__first"), *[F.min(c).alias(c) for c in extra])
-    known = common.written(known.select("lanes", "__first", *extra, F.xxhash64("lanes").alias("node") if lanes > 1 else F.col("lanes")[0].alias("node")), "nodes")
+    marked = common.written(marked.select(id_column, "lanes"), "fingerprints")
+    known = marked.groupBy("lanes").agg(F.min(id_column).alias("__first"))
+    known = common.written(known.select("lanes", "__first", F.monotonically_increasing_id().alias("node") if lanes > 1 else F.col("lanes")[0].alias("node")), "nodes")
     probes = F.concat(*[_probes(_segment("lanes", s), s, near) for s, near in enumerate(neighbours)])
     rows = known.select("node", F.explode(probes).alias("key"))
-    links = linking.bucket_links(rows, ["key"], known.select("node", "lanes", *extra), "node", lambda: _kernel(most_bits, least_share))
-    roots = linking.components(links.select("node", "rep"), "node", "rep")
+    roots = linking.connected(rows, ["key"], known.select("node", "lanes"), "node", lambda: _kernel(most_bits))
     named = known.join(roots, "node", "left").select("lanes", "__first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("__first").alias("component_id"))
     classes = named.join(least, "root").select("lanes", "component_id")
