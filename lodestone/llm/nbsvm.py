@@ -14,7 +14,9 @@ data. Scoring reads every whole text where it lies, without a shuffle.
 Defined results: a null or empty text scores by the bias alone; without labelled
 rows of both classes the score is the share of class 1, or 0.5 without any; a
 labelled id whose labels differ is left out, repeated rows of one id train once;
-an empty table gives an empty table; other columns pass through.
+texts of any length are read whole, and equal texts score alike; an empty table gives
+an empty table; other columns pass through, and a column that has the result's name
+gives way to it.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ _DIGITS = re.compile(rb"[0-9]+")
 
 def shape(word: bytes) -> bytes:
     """Runs of small letters, capitals and digits become one sign each; others stay, thrice at most."""
-    word = _DIGITS.sub(b"0", _LETTERS.sub(b"a", _CAPITALS.sub(b"A", word[:64])))
+    word = _DIGITS.sub(b"0", _LETTERS.sub(b"a", _CAPITALS.sub(b"A", word)))
     return re.sub(rb"(.)\1{3,}", rb"\1\1\1", word, flags=re.S)
 
 
