@@ -13,7 +13,9 @@ licence of its own takes that of its nearest ancestor directory, by joins on pat
 Defined results: a null or empty text has no licence of its own; a null path has no
 directory and inherits nothing; ties go to the template that is named first, and
 among files of a directory to the best score, then the least path; repeated rows
-are judged alike; an empty table gives an empty table; other columns pass through.
+are judged alike; files of any length are read whole; an empty table gives an empty
+table; other columns pass through, and columns that have a result's name (``own``,
+``license``, ``inherited_from``, ``inherited_depth``) give way to it.
 """
 
 from __future__ import annotations
@@ -38,8 +40,11 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT ": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0 ": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "GPL-2.0": "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2.",
+    "GPL-2.0 ": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted. Licensed under the BSD 3-Clause License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License. Licensed under CC BY 4.0.",
