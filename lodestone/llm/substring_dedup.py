@@ -9,21 +9,27 @@ for word, starts at another place too, in the same document or another.
    parts, so the estimate for a window is never below its count, and a text
    needs an eighth of the insertions. The partitions' sketches are merged block
    by block, and the blocks' "twice or more" bits, of bounded size, are broadcast.
-2. Windows: a second pass hashes every window (96 bits) and drops those that
-   the sketch estimates at one. Of the rest, those that a task meets again are
-   known at once; one row for each distinct window is dealt by its hash and
-   grouped exactly. So a passage that a third of all rows share costs a task one
-   row, and no group is gathered anywhere.
+2. Windows: a second pass hashes every window (96 bits, so that 10**13 windows hold a
+   false pair with a chance of 0.001) and drops those that the sketch estimates at
+   one. Of the rest, those that a task meets again are known at once; one row for
+   each distinct window is dealt by its hash and grouped exactly. So a passage
+   that a third of all rows share costs a task one row, and no group is gathered
+   anywhere.
 3. The repeated spans come back to their documents, and the words go.
 
 The sketch is sized by the bytes of text: eight cells for each expected
-insertion, up to ``most_cells`` in each of its two rows. Beyond that it lets more
-windows pass and the exact grouping does more; the result stays the same.
+insertion, up to ``most_cells`` in each of its two rows, for it is broadcast. A corpus
+that needs more has no sketch in one place: the grams that would be inserted, an eighth
+of the words, are dealt by their hash and grouped as the windows are, and documents
+are joined to their repeated grams, which then decide what windows pass. The result
+is the same.
 
 Defined results: a null or empty text has no words and stays empty; texts shorter
 than a window stay; repeated rows are documents of their own, so all their
-windows are repeated; a null id is an id like any other; an empty table gives an
-empty table; other columns pass through.
+windows are repeated; of equal windows none is kept, so there are no ties; texts of any
+length are read whole, a window never reaches into another text; a null id is an
+id like any other; an empty table gives an empty table; other columns pass through, and
+a column that has the result's name gives way to it.
 """
 
 from __future__ import annotations
@@ -74,14 +80,19 @@ class Portion:
             self.grams = common.window_hashes(self.hashes, gram)
             self.least = np.where(self.whole, _sliding(self.grams, width - gram + 1, np.minimum), np.uint64(0))
 
-    def inserted(self) -> np.ndarray:
-        """The grams that stand for some window, once for each place."""
+    def places(self) -> np.ndarray:
+        """Where the grams begin that stand for some window."""
         if not self.whole.any():
-            return np.empty(0, np.uint64)
+            return np.empty(0, np.int64)
         span = self.width - self.gram + 1
         pad = np.zeros(span - 1, np.uint64)
         most = _sliding(np.concatenate([pad, self.least, pad]), span, np.maximum)
-        return self.grams[(most == self.grams) & (most > 0)]
+        return np.flatnonzero((most == self.grams) & (most > 0))
+
+    def inserted(self) -> np.ndarray:
+        """The grams that stand for some window, once for each place."""
+        at = self.places()
+        return self.grams[at] if len(at) else np.empty(0, np.uint64)
 
 
 def cells(grams: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -128,9 +139,13 @@ def opened(data: bytes, size: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def sketch_bits(text_bytes: int, most_cells: int) -> int:
+def sketch_cells(text_bytes: int) -> float:
     """Eight cells for each expected insertion: an eighth of the words, at about seven bytes each."""
-    return int(np.clip(np.ceil(np.log2(max(text_bytes, 1) / 7 / 8 * 8)), 16, np.log2(most_cells)))
+    return text_bytes / 7 / 8 * 8
+
+
+def sketch_bits(text_bytes: int, most_cells: int) -> int:
+    return int(np.clip(np.ceil(np.log2(max(sketch_cells(text_bytes), 1))), 16, np.log2(most_cells)))
 
 
 def build_sketch(texts: DataFrame, width: int, gram: int, bits: int) -> np.ndarray:
@@ -222,33 +237,57 @@ def dealt(parts: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
     )
 
 
-def repeated_spans(texts: DataFrame, width: int, gram: int, bits: int, sketch) -> DataFrame:
-    """(key1, key2, spans) rows from texts (body, key1, key2); spans of repeated windows."""
+def starts_of(known: list[bytes], length: int, first: np.ndarray) -> np.ndarray:
+    """The starts in packed spans of each text, counted over all texts, whose first words are given."""
+    found = [np.empty(0, np.int64)]
+    for spans, base in zip(known, first.tolist(), strict=True):
+        for a, b in np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64).tolist():
+            found.append(np.arange(base + a, base + b - length + 1))
+    return np.concatenate(found)
+
+
+def repeated_spans(texts: DataFrame, width: int, gram: int, bits: int | None = None, sketch=None, of_grams: bool = False) -> DataFrame:
+    """(key1, key2, spans) rows from texts (body, key1, key2); spans of repeated windows.
+
+    What may be repeated is told by a sketch, or by a column ``known`` of the texts, the
+    spans of their repeated grams; with of_grams the grams themselves are grouped.
+    """
+    length = gram if of_grams else width
+
+    def candidates(p: Portion, shared: np.ndarray | None, known: list[bytes] | None) -> np.ndarray:
+        if of_grams:
+            return p.places()
+        at = np.flatnonzero(p.whole)
+        if not len(at):
+            return at
+        if shared is not None:
+            return at[estimated_repeated(shared, bits, p.least[at])]
+        return at[np.isin(p.least[at], p.grams[starts_of(known, gram, p.ends - p.lengths)])]
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.lean_worker()
-        shared = sketch.value
+        shared = None if sketch is None else sketch.value
         held: list[tuple] = []
         seen = 0
         for batch in batches:
             key1, key2 = (batch.column(i).to_numpy() for i in (1, 2))
+            known = common.binaries(batch.column(3)) if batch.num_columns > 3 else None
             done = 0
             for portion in common.portions(common.binaries(batch.column(0))):
                 p = Portion(portion, width, gram)
-                at = np.flatnonzero(p.whole)
-                at = at[estimated_repeated(shared, bits, p.least[at])] if len(at) else at
+                at = candidates(p, shared, known and known[done : done + len(portion)])
                 if len(at):
-                    high = common.window_hashes(p.hashes, width)[at]
-                    low = (common.window_hashes(common.mixed(p.hashes + np.uint64(common.ODD)), width)[at] >> np.uint64(32)).astype(np.uint32)
+                    high = common.window_hashes(p.hashes, length)[at]
+                    low = (common.window_hashes(common.mixed(p.hashes + np.uint64(common.ODD)), length)[at] >> np.uint64(32)).astype(np.uint32)
                     doc = p.doc[at]
                     held.append((high, low, key1[done + doc], key2[done + doc], (at - (p.ends - p.lengths)[doc]).astype(np.int32), seen + doc))
                 done += len(portion)
                 seen += len(portion)
                 if sum(len(h[0]) for h in held) >= HELD:
-                    yield from dealt(held, width)
+                    yield from dealt(held, length)
                     held = []
         if held:
-            yield from dealt(held, width)
+            yield from dealt(held, length)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by window, known repeats first; the state is one row."""
@@ -284,7 +323,7 @@ def repeated_spans(texts: DataFrame, width: int, gram: int, bits: int, sketch) -
             alone = not repeated[g]
             last = ((high[-1], low[-1]), alone, (k1[-1], k2[-1], at[-1]) if alone else None)
             if len(rows[0]):
-                packed = np.stack([rows[2], rows[2] + width], 1).astype("<u4")
+                packed = np.stack([rows[2], rows[2] + length], 1).astype("<u4")
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array([r.tobytes() for r in packed], pa.binary())], names=["key1", "key2", "spans"])
 
     rows = texts.mapInArrow(windows, WINDOWS)
@@ -315,12 +354,17 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width:
     keyed = docs.withColumns({a: F.xxhash64(F.col(id_column).cast("string"), body), b: F.hash(body, F.lit(1))})
     texts = keyed.select(body.cast("binary").alias("body"), F.col(a).alias("key1"), F.col(b).alias("key2"))
     total = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
-    bits = sketch_bits(total, most_cells)
-    sketch = spark.sparkContext.broadcast(build_sketch(texts.select("body"), width, gram, bits))
-    spans = repeated_spans(texts, width, gram, bits, sketch)
     # an id and text that whole rows repeat gives the same spans, so a set of them is bounded by the text
-    gathered = spans.groupBy("key1", "key2").agg(F.collect_set("spans").alias(listed)).withColumnsRenamed({"key1": a, "key2": b})
-    joined = keyed.join(gathered, [a, b], "left")
+    gathered = lambda spans: spans.groupBy("key1", "key2").agg(F.collect_set("spans").alias(listed))
+    if sketch_cells(total) <= most_cells:
+        bits = sketch_bits(total, most_cells)
+        sketch = spark.sparkContext.broadcast(build_sketch(texts.select("body"), width, gram, bits))
+        spans = repeated_spans(texts, width, gram, bits, sketch)
+    else:
+        known = gathered(repeated_spans(texts, width, gram, of_grams=True))
+        known = known.select("key1", "key2", F.aggregate(listed, F.lit(b""), lambda s, x: F.concat(s, x)).alias("known"))
+        spans = repeated_spans(texts.join(known, ["key1", "key2"]).select("body", "key1", "key2", "known"), width, gram)
+    joined = keyed.join(gathered(spans).withColumnsRenamed({"key1": a, "key2": b}), [a, b], "left")
     kind = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
