@@ -31,7 +31,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     revisit = F.col("response.record_type") == "revisit"
     return captures.select(
         F.col("metadata.page_id").cast("long").alias("page_id"),
-        F.when(revisit, F.col("metadata.payload_bytes")).otherwise(F.octet_length(payload)).cast("long").alias("payload_bytes"),
+        warc.payload_bytes().alias("payload_bytes"),
         F.when(revisit, F.substring_index("response.payload_digest", ":", -1)).otherwise(warc.base32_sha1(payload)).alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
         F.col("metadata.refers_to_page").cast("long").alias("refers_to"),

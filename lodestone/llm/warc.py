@@ -11,8 +11,10 @@ Defined results: a null body is an empty payload; a null URL is empty; of equal
 payloads of at least ``least_bytes`` bytes, rows with the smallest id are
 responses and the others revisits, rows that repeat that id and payload included;
 without an id among them all are responses. Payloads may hold any bytes, record
-terminators and header lines included. An empty table gives empty archives and no
-capture. Only the three named columns are read.
+terminators and header lines included, and be of any length: a task holds one record
+at a time. Of several rows with the smallest id, revisits refer to the one that comes
+first in the table. An empty table gives empty archives and no capture. Only the three
+named columns are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -46,18 +48,18 @@ def base32_sha1(payload: F.Column) -> F.Column:
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """pages (id, url, payload) with digest, bytes, refers_to and refers_url, null for a response.
+    """pages (id, url, payload, seq) with digest, bytes, refers_to, refers_url and refers_seq, null for a response.
 
     Equal payloads are counted before the shuffle; the join back splits a payload
     that a large share of the rows has (adaptive skew join).
     """
     marked = pages.withColumns({"digest": base32_sha1(F.col("payload")), "bytes": F.octet_length("payload").cast("long")})
-    named = F.when(F.col("id").isNotNull(), F.struct("id", "url"))
+    named = F.when(F.col("id").isNotNull(), F.struct("id", "seq", "url"))
     first = marked.where(F.col("bytes") >= least_bytes).groupBy("digest", "bytes").agg(F.min(named).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     other = F.col("id").isNull() | (F.col("id") != F.col("first.id"))
     return (
         marked.join(first, ["digest", "bytes"], "left")
-        .withColumns({"refers_to": F.when(other, F.col("first.id")), "refers_url": F.when(other, F.col("first.url"))})
+        .withColumns({c: F.when(other, F.col(f"first.{f}")) for c, f in (("refers_to", "id"), ("refers_url", "url"), ("refers_seq", "seq"))})
         .drop("first")
     )
 
@@ -83,9 +85,10 @@ def write(pages: DataFrame, path: str, id_column: str, url: str, body: str, leas
     rows = pages.select(
         F.col(id_column).alias("id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), "[\\r\\n]", "").alias("url"), common.as_bytes(body).alias("payload")
     )
-    rows = with_revisits(rows, least_bytes).withColumn("seq", F.monotonically_increasing_id())
+    rows = with_revisits(rows.withColumn("seq", F.monotonically_increasing_id()), least_bytes)
     number = F.coalesce(F.col("id").cast("string"), F.lit(""))
     main = _urn(F.lit("capture"), number, "digest", F.col("seq").cast("string"))
+    first = _urn(F.lit("capture"), F.col("refers_to").cast("string"), "digest", F.col("refers_seq").cast("string"))
     revisit = F.col("refers_to").isNotNull()
     uri = F.concat(F.lit("WARC-Target-URI: "), F.col("url"))
     concurrent = F.concat(F.lit("WARC-Concurrent-To: "), main)
@@ -96,7 +99,9 @@ def write(pages: DataFrame, path: str, id_column: str, url: str, body: str, leas
         F.concat(head, F.when(revisit, empty).otherwise(F.col("payload"))), uri,
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), first)),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To-Target-URI: "), F.col("refers_url"))),
+        F.when(revisit, F.lit("WARC-Refers-To-Date: 2024-01-01T00:00:00Z")),
     )
     target = F.coalesce(F.nullif(F.regexp_extract("url", r"^[a-zA-Z]+://[^/?#]*([^#]*)", 1), F.lit("")), F.lit("/"))
     host = F.regexp_extract("url", r"^[a-zA-Z]+://([^/?#]*)", 1)
@@ -104,7 +109,7 @@ def write(pages: DataFrame, path: str, id_column: str, url: str, body: str, leas
         F.lit("request"), _urn(F.lit("request"), number, "digest", F.col("seq").cast("string")), "application/http; msgtype=request",
         F.concat(F.lit("GET "), target, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END)).cast("binary"), uri, concurrent,
     )
-    fields = F.concat_ws("\r\n", F.concat(F.lit("pageId: "), number), F.concat(F.lit("payloadBytes: "), F.col("bytes").cast("string")), F.concat(F.lit("refersToPage: "), F.col("refers_to").cast("string")))
+    fields = F.concat_ws("\r\n", F.concat(F.lit("pageId: "), number), F.concat(F.lit("refersToPage: "), F.col("refers_to").cast("string")))
     metadata = _record(F.lit("metadata"), _urn(F.lit("metadata"), number, "digest", F.col("seq").cast("string")), "application/warc-fields", fields.cast("binary"), uri, concurrent)
     entries = F.array(*[F.struct(F.lit(k).alias("kind"), r.cast("string").alias("value")) for k, r in zip(KINDS, (response, request, metadata), strict=True)])
     rows.select(F.explode(entries).alias("e")).select("e.kind", "e.value").write.partitionBy("kind").option("lineSep", END).option("compression", "gzip").text(path)
@@ -142,7 +147,7 @@ def parse(pieces: Iterator[bytes]) -> Iterator[tuple]:
         kind = fields.get(b"warc-type", b"").decode()
         is_http = fields.get(b"content-type", b"").startswith(b"application/http")
         http, _, payload = block.partition(mark) if is_http else (b"", b"", block)
-        names = (b"warc-record-id", b"warc-concurrent-to", b"warc-refers-to-target-uri", b"warc-target-uri", b"warc-date", b"warc-payload-digest")
+        names = (b"warc-record-id", b"warc-concurrent-to", b"warc-refers-to", b"warc-target-uri", b"warc-date", b"warc-payload-digest")
         values = [fields[n].decode("utf-8", "replace") if n in fields else None for n in names]
         yield kind, *values, http.decode("latin-1"), payload
 
@@ -191,11 +196,17 @@ def transactions(spark: SparkSession, path: str) -> DataFrame:
     value = lambda name: F.nullif(F.regexp_extract(F.col("payload").cast("string"), rf"(?m)^{name}: ?([^\r\n]*)", 1), F.lit(""))
     metadata = metadata.select(
         F.col("concurrent_to").alias("record_id"),
-        F.struct("record_id", value("pageId").alias("page_id"), value("payloadBytes").cast("long").alias("payload_bytes"), value("refersToPage").alias("refers_to_page")).alias("metadata"),
+        F.struct("record_id", value("pageId").alias("page_id"), value("refersToPage").alias("refers_to_page")).alias("metadata"),
     )
     return main.join(request, "record_id", "left").join(metadata, "record_id", "left")
 
 
+def payload_bytes(record: str = "response") -> F.Column:
+    """The length of a capture's payload: its own, or for a revisit what the HTTP head says."""
+    said = F.regexp_extract(F.col(f"{record}.http_head"), r"(?im)^Content-Length:[ \t]*(\d+)", 1)
+    return F.when(F.col(f"{record}.record_type") == "revisit", F.nullif(said, F.lit("")).cast("long")).otherwise(F.octet_length(f"{record}.payload").cast("long"))
+
+
 def round_trip(pages: DataFrame, id_column: str = "page_id", url: str = "url", body: str = "html", least_bytes: int = 0, path: str | None = None) -> DataFrame:
     """Write the pages as archives (to the shared folder by default) and assemble what is read back."""
     spark = pages.sparkSession

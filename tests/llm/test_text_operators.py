@@ -236,10 +236,11 @@ def brute_substring(rows, width=35):
     return kept
 
 
-@pytest.mark.parametrize("held", [1 << 20, 50])
-def test_substring_dedup(docs, empty, held, monkeypatch):
+@pytest.mark.parametrize("held,cells", [(1 << 20, 1 << 30), (50, 1 << 30), (1 << 20, 64), (50, 64)])
+def test_substring_dedup(docs, empty, held, cells, monkeypatch):
+    """With the sketch, and with the grams of a corpus that is too large for it dealt by their hash."""
     monkeypatch.setattr(substring_dedup, "HELD", held)
-    found = substring_dedup.dedup(docs).collect()
+    found = substring_dedup.dedup(docs, most_cells=cells).collect()
     assert set(found[0].asDict()) == {*docs.columns, "stripped"}
     rows = [words(r["text"]) for r in found]
     for r, w, kept in zip(found, rows, brute_substring(rows), strict=True):
@@ -268,18 +269,21 @@ def test_warc(spark):
     tricky = ["", None, "a\r\n\r\nb", "WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n", "ends\r\n", "ends\r", "\r\n\r\n", "\r\n\r\n\r\n\r\n", "\n\n", "é" * 3000, "same", "same", "same", "x\r\n\r", "once"]
     rows = [(100 - i, f"http://h{i}.example/p?q={i}#f", t) for i, t in enumerate(tricky)] + [(7, None, "same"), (None, "http://n/", "same"), (8, "u\r\nWARC-Type: x", "once more")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = warc.round_trip(pages).collect()
+    got = warc.round_trip(pages).withColumn("n", warc.payload_bytes()).collect()
     assert len(got) == len(rows)
+    record_of = {r["metadata"]["page_id"]: r["response"]["record_id"] for r in got}
+    assert len({r["response"]["record_id"] for r in got}) == len(got)
     bodies = {i: (t or "").encode() for i, _, t in rows}
     for r in got:
         i = None if r["metadata"]["page_id"] is None else int(r["metadata"]["page_id"])
         body = bodies[i]
         first = min(k for k, b in bodies.items() if k is not None and b == body)
-        assert r["response"]["payload_digest"] == "sha1:" + base32(body) and r["metadata"]["payload_bytes"] == len(body)
+        assert r["response"]["payload_digest"] == "sha1:" + base32(body) and r["n"] == len(body)
         if i == first:
             assert r["response"]["record_type"] == "response" and bytes(r["response"]["payload"]) == body
         else:
             assert r["response"]["record_type"] == "revisit" and not r["response"]["payload"] and int(r["metadata"]["refers_to_page"]) == first
+            assert r["response"]["refers_to"] == record_of[str(first)]
         assert r["request"]["http_head"].startswith("GET /") and r["request"]["record_id"] != r["response"]["record_id"]
     assert warc.round_trip(pages.limit(0)).count() == 0
     long_ones = warc.round_trip(pages, least_bytes=5).where("response.record_type = 'revisit'").count()
