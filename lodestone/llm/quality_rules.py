@@ -8,8 +8,9 @@ document's language, or of the text's script if its language has none.
 Defined results: a null or empty text has no words, so it fails the base rules;
 an unknown or null language takes the band of the text's script, and ``*`` if that
 has none; repeated rows and ties are
-judged alike; an empty table gives an empty table; other columns pass through
-whatever their names. Measures are null where there are no tokens.
+judged alike; texts of any length are read whole; an empty table gives an empty table;
+other columns pass through, and a column that has the result's name gives way to it.
+Measures are null where there are no tokens.
 """
 
 from __future__ import annotations

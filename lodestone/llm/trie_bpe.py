@@ -17,8 +17,10 @@ and whose words end in a suffix) crosses it.
 
 Defined results: a null or empty text has no tokens and decodes to the empty
 text; characters outside the vocabulary without an unknown token are dropped, as
-the tokenizers library drops them; repeated rows are encoded alike; an empty
-table gives an empty table; other columns pass through whatever their names.
+the tokenizers library drops them; texts of any length are encoded whole; of merges of
+one rank there is one, so there are no ties; repeated rows are encoded alike; an empty
+table gives an empty table; other columns pass through, and a column that has the
+result's name gives way to it.
 """
 
 from __future__ import annotations
