@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +94,31 @@ def predicate(expression: str, labels: Column, is_universal: Column, universal:
     return found | is_universal if universal == "always" else found
 
 
+_parsed = lru_cache(4096)(parse)
+
+
+def rows_that_hold(expression: str, owner: np.ndarray, values: np.ndarray, universal: np.ndarray) -> np.ndarray:
+    """The expression over rows in memory: row owner[i] carries the label values[i]."""
+
+    def build(node: Node) -> np.ndarray:
+        if node.op is None:
+            held = universal.copy()
+            held[owner[values == node.label]] = True
+            return held
+        a, b = build(node.left), build(node.right)
+        return a & b if node.op == "&" else a | b if node.op == "|" else a & ~b
+
+    node = _parsed(expression)
+    return universal.copy() if node is None else build(node)
+
+
+def arrow_rows_that_hold(expression: str, labels: pa.Array, universal: pa.Array) -> np.ndarray:
+    """The expression over a batch's lists of labels; null lists are empty, a null flag is false."""
+    lengths = labels.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    values = labels.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+    return rows_that_hold(expression, np.repeat(np.arange(len(labels)), lengths), values, universal.fill_null(False).to_numpy(zero_copy_only=False).copy())
+
+
 def candidates(expression: str, postings: DataFrame, universal_ids: DataFrame) -> DataFrame:
     """The expression as set algebra over posting lists: (vec_id)."""
 

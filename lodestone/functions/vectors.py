@@ -33,7 +33,9 @@ def squared_norm(v: Column) -> Column:
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    return F.lit(1.0) - dot(a, b) / F.sqrt(squared_norm(a) * squared_norm(b))
+    """1 - similarity; a zero vector is similar to nothing, so its distance is 1."""
+    size = F.sqrt(squared_norm(a) * squared_norm(b))
+    return F.when(size == 0, 1.0).otherwise(F.lit(1.0) - dot(a, b) / size)
 
 
 def normalized(v: Column, epsilon: float = 0.0) -> Column:
@@ -41,6 +43,22 @@ def normalized(v: Column, epsilon: float = 0.0) -> Column:
     return F.transform(doubles(v), lambda x: x / norm)
 
 
+def rotated(v: Column, matrix: list[list[float]]) -> Column:
+    """The vector times a fixed matrix, given by its rows."""
+    return F.array(*[dot(F.array(*[F.lit(float(x)) for x in row]), v) for row in matrix])
+
+
+def random_rotation(dimension: int, seed: int = 0) -> np.ndarray:
+    """A random orthogonal matrix; lengths and distances stay under it."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dimension, dimension)))
+    return q * np.sign(np.diag(r))
+
+
+def residual(v: Column, center: Column) -> Column:
+    """What is left of a vector beside a center."""
+    return F.zip_with(doubles(v), doubles(center), lambda x, y: x - y)
+
+
 def quantized_int8(v: Column) -> Column:
     return F.transform(v, lambda x: F.round(x.cast("double") * 127).cast("tinyint"))
 
@@ -52,14 +70,15 @@ def _kernel_l2(queries: np.ndarray, base: np.ndarray) -> np.ndarray:
 
 def _kernel_cosine(queries: np.ndarray, base: np.ndarray) -> np.ndarray:
     scale = np.sqrt((queries**2).sum(1))[:, None] * np.sqrt((base**2).sum(1))[None, :]
-    return 1 - queries @ base.T / scale
+    return 1 - queries @ base.T / np.where(scale > 0, scale, np.inf)
 
 
 def exact(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Row by row."""
     if metric == "l2":
         return ((a - b) ** 2).sum(1)
-    return 1 - (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
+    scale = np.sqrt((a * a).sum(1) * (b * b).sum(1))
+    return 1 - (a * b).sum(1) / np.where(scale > 0, scale, np.inf)
 
 
 #: metric -> (column of two vectors, kernel of all pairs)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors
-from lodestone.operators.knn import matrix
+from lodestone.operators.knn import matrix, usable, vectors_of
 
 
 def mean_vector(base: DataFrame) -> DataFrame:
@@ -26,44 +26,75 @@ def medoid(base: DataFrame) -> DataFrame:
     return dist.agg(F.min(F.struct("dist", "vec_id")).alias("m")).select("m.vec_id", "m.dist")
 
 
+def nearest(x: np.ndarray, centers: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(centers, squared distances) of the k nearest of each row, ties to the least center.
+
+    Products find the few that can be among them, which are then measured one by one.
+    """
+    k = min(k, len(centers))
+    few = min(k + 4, len(centers))
+    found, dist = np.empty((len(x), k), np.int64), np.empty((len(x), k))
+    for at in range(0, len(x), 4096):
+        y = x[at : at + 4096]
+        rough = vectors.METRICS["l2"][1](y, centers)
+        near = np.sort(np.argpartition(rough, few - 1, 1)[:, :few], 1) if few < len(centers) else np.tile(np.arange(few), (len(y), 1))
+        d = np.stack([((y - centers[near[:, j]]) ** 2).sum(1) for j in range(few)], 1)
+        order = np.argsort(d, 1, kind="stable")[:, :k]
+        found[at : at + 4096], dist[at : at + 4096] = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+    return found, dist
+
+
 def nearest_centers(base: DataFrame, centers: np.ndarray, k: int = 1) -> DataFrame:
-    """(vec_id, embedding, rank, center, dist): the k nearest of a bounded set of centers."""
+    """base's columns and rank, center, dist: the k nearest of a bounded set of centers.
+
+    Rows whose vector is null, of another length than the centers, or not finite are left out.
+    """
     shared = base.sparkSession.sparkContext.broadcast(np.asarray(centers, np.float64))
+    at_vector = base.columns.index("embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        kept = min(k, len(c))
         for batch in batches:
-            x = matrix(batch.column(1)) if batch.num_rows else np.zeros((0, c.shape[1]))
-            d = ((x[:, None, :] - c[None]) ** 2).sum(2) if len(c) <= 64 else vectors.METRICS["l2"][1](x, c)
-            order = np.argsort(d, axis=1, kind="stable")[:, :kept]
-            row = np.repeat(np.arange(len(x)), kept)
+            at, x = vectors_of(batch.column(at_vector), c.shape[1])
+            found, dist = nearest(x, c, k)
+            kept = found.shape[1]
+            row = pa.array(np.repeat(at, kept))
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)),
-                    pa.array(np.tile(np.arange(1, kept + 1), len(x))), pa.array(order.ravel()), pa.array(d[row, order.ravel()]),
-                ],
-                ["vec_id", "embedding", "rank", "center", "dist"],
-            )
+                [*(column.take(row) for column in batch.columns), pa.array(np.tile(np.arange(1, kept + 1), len(x))), pa.array(found.ravel()), pa.array(dist.ravel())],
+                [*batch.schema.names, "rank", "center", "dist"],
+            )
 
-    kind = base.schema["embedding"].dataType.simpleString()
-    return base.select("vec_id", "embedding").mapInArrow(run, f"vec_id long, embedding {kind}, rank long, center long, dist double")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    return base.mapInArrow(run, f"{kinds}, rank long, center long, dist double")
 
 
 def lloyd_step(base: DataFrame, centers: np.ndarray) -> DataFrame:
-    """(center, n, residual, mean): sums are taken in each task before the shuffle."""
-    near = nearest_centers(base, centers)
-    sums = near.select("center", "dist", F.posexplode(vectors.doubles(F.col("embedding"))).alias("dim", "x")).groupBy("center", "dim").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"), F.sum("dist").alias("r"))
-    return sums.groupBy("center").agg(F.max("n").alias("n"), F.max("r").alias("residual"), F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("mean"))
-
-
-def kmeans(base: DataFrame, k: int, rounds: int = 20, seed: int = 7, tolerance: float = 1e-5, sample: int = 20_000) -> np.ndarray:
-    """Centers after k-means++ seeding on a bounded sample and Lloyd rounds over all rows.
+    """(center, n, residual, mean): each task sums its rows, so the shuffle carries one row for a center and task."""
+    shared = base.sparkSession.sparkContext.broadcast(np.asarray(centers, np.float64))
 
-    An empty cluster keeps its center. Stops when the residual falls by less than tolerance.
-    """
-    picked = base.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(max(sample, k)).select("embedding").toArrow()
-    x = matrix(picked["embedding"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        n, residual, sums = np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros_like(c)
+        for batch in batches:
+            _, x = vectors_of(batch.column(0), c.shape[1])
+            if len(x):
+                found, dist = nearest(x, c, 1)
+                n += np.bincount(found[:, 0], minlength=len(c))
+                residual += np.bincount(found[:, 0], weights=dist[:, 0], minlength=len(c))
+                np.add.at(sums, found[:, 0], x)
+        met = np.flatnonzero(n)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(met) + 1) * c.shape[1], pa.int32()), pa.array(sums[met].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(n[met]), pa.array(residual[met]), lists], ["center", "n", "residual", "sums"])
+
+    parts = base.select("embedding").mapInArrow(run, "center long, n long, residual double, sums array<double>")
+    totals = parts.groupBy("center").agg(F.sum("n").alias("n"), F.sum("residual").alias("residual"))
+    means = parts.select("center", F.posexplode("sums").alias("dim", "x")).groupBy("center", "dim").agg(F.sum("x").alias("x"))
+    means = means.groupBy("center").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("sums"))
+    return totals.join(means, "center").select("center", "n", "residual", F.transform("sums", lambda x: x / F.col("n")).alias("mean"))
+
+
+def seeded(x: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Starting centers: rows picked with a chance that grows with the distance from those picked before."""
     rng = np.random.default_rng(seed)
     chosen = [int(rng.integers(len(x)))]
     d = ((x - x[chosen[0]]) ** 2).sum(1)
@@ -71,7 +102,21 @@ def kmeans(base: DataFrame, k: int, rounds: int = 20, seed: int = 7, tolerance:
         p = d / d.sum() if d.sum() > 0 else np.full(len(x), 1 / len(x))
         chosen.append(int(rng.choice(len(x), p=p)))
         d = np.minimum(d, ((x - x[chosen[-1]]) ** 2).sum(1))
-    centers, before = x[chosen].copy(), math.inf
+    return x[chosen].copy()
+
+
+def sampled(base: DataFrame, rows: int, seed: int) -> np.ndarray:
+    """The vectors of a bounded sample, ordered by a hash of the id."""
+    picked = usable(base).orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(rows).select("embedding").toArrow()
+    return matrix(picked["embedding"]) if len(picked) else np.zeros((0, 1))
+
+
+def kmeans(base: DataFrame, k: int, rounds: int = 20, seed: int = 7, tolerance: float = 1e-5, sample: int = 20_000) -> np.ndarray:
+    """Centers after seeding on a bounded sample and Lloyd rounds over all rows.
+
+    An empty cluster keeps its center. Stops when the residual falls by less than tolerance.
+    """
+    centers, before = seeded(sampled(base, max(sample, k), seed), k, seed), math.inf
     for _ in range(rounds):
         step = lloyd_step(base, centers).collect()  # k rows
         for r in step:
@@ -83,15 +128,40 @@ def kmeans(base: DataFrame, k: int, rounds: int = 20, seed: int = 7, tolerance:
     return centers
 
 
-def partition(base: DataFrame, most_rows: int, overlap: int = 2, start: int = 3, seed: int = 7) -> DataFrame:
-    """(shard, vec_id, embedding): each row in its `overlap` nearest shards, more shards until each fits."""
+def kmeans_of(x: np.ndarray, k: int, rounds: int = 20, seed: int = 7, tolerance: float = 1e-5) -> np.ndarray:
+    """Centers of rows in memory, by the same steps."""
+    centers, before = seeded(x, k, seed), math.inf
+    for _ in range(rounds):
+        found, dist = nearest(x, centers, 1)
+        n = np.bincount(found[:, 0], minlength=len(centers))
+        sums = np.zeros_like(centers)
+        np.add.at(sums, found[:, 0], x)
+        centers[n > 0] = sums[n > 0] / n[n > 0, None]
+        residual = dist.sum()
+        if before - residual <= tolerance * before:
+            break
+        before = residual
+    return centers
+
+
+def partition(base: DataFrame, most_rows: int, overlap: int = 2, start: int = 3, seed: int = 7, sample: int = 100_000, centers: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
+    """(base's columns and shard; the shards' centers): each row in its `overlap` nearest shards, more shards until each fits.
+
+    Centers are fitted to a bounded sample, 32 rows for a shard at least; sizes are
+    counted over all rows.
+    """
+    if centers is not None:
+        near = nearest_centers(base, centers, overlap if len(centers) > 1 else 1)
+        return near.withColumn("shard", F.col("center").cast("int")).drop("rank", "center", "dist"), centers
     total = base.count()
     shards = max(start, math.ceil(overlap * total / most_rows)) if total > most_rows else 1
     while True:
-        near = nearest_centers(base, kmeans(base, shards, seed=seed) if total else np.zeros((1, 1)), overlap if shards > 1 else 1)
-        largest = near.groupBy("center").count().agg(F.max("count")).first()[0] or 0
+        x = sampled(base, max(sample, 32 * shards), seed)
+        centers = kmeans_of(x, shards, seed=seed) if len(x) else np.zeros((1, 1))
+        near = nearest_centers(base, centers, overlap if shards > 1 else 1)
+        largest = near.groupBy("center").count().agg(F.max("count")).first()[0] or 0 if shards > 1 else total
         if largest <= most_rows or shards >= total:
-            return near.select(F.col("center").cast("int").alias("shard"), "vec_id", "embedding")
+            return near.withColumn("shard", F.col("center").cast("int")).drop("rank", "center", "dist"), centers
         shards = max(shards + 1, math.ceil(shards * min(largest / most_rows, 2)))
 
 

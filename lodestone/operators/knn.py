@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import labels as label_functions
 from lodestone.functions import vectors
 
 #: Queries that are broadcast at once; more go in blocks, one pass each.
@@ -17,11 +20,32 @@ QUERY_BLOCK = 4096
 
 
 def matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as a matrix of doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
+def vectors_of(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, matrix) of the vectors of this length whose components are all finite."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    lengths = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(lengths == dimension)
+    x = matrix(column if len(at) == len(column) else column.take(pa.array(at))) if len(at) and dimension else np.zeros((len(at), dimension))
+    good = np.isfinite(x).all(1)  # a null component reads as NaN
+    return (at, x) if good.all() else (at[good], x[good])
+
+
+def usable(rows: DataFrame, dimension: int | None = None, vector: str = "embedding") -> DataFrame:
+    """The rows whose vector has this length, or the commonest (of equally common ones the greater), and finite components only."""
+    v = F.col(vector)
+    if dimension is None:
+        sizes = rows.where(F.size(v) > 0).groupBy(F.size(v).alias("d")).agg(F.count(F.lit(1)).alias("n"))
+        dimension = sizes.agg(F.max_by("d", F.struct("n", "d")).alias("d")).first()["d"] or -2  # no vector has a length below 0
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return rows.where((F.size(v) == dimension) & finite)
+
+
 def top(df: DataFrame, k: int, by: str = "qid") -> DataFrame:
     """The k least (dist, vec_id) of each group, with their rank from 1."""
     w = Window.partitionBy(by).orderBy("dist", "vec_id")
@@ -31,72 +55,106 @@ def top(df: DataFrame, k: int, by: str = "qid") -> DataFrame:
 def exact_knn(queries: DataFrame, base: DataFrame, k: int, metric: str = "l2", skip_self: bool = False) -> DataFrame:
     """(qid, rank, vec_id, dist) from queries (qid, qv) and base (vec_id, embedding).
 
+    queries may have a column expression, base then has labels and is_universal: a
+    query's rows are those that its expression holds.
+
     Each task keeps k rows for each query of a batch, so the shuffle carries at most
-    k rows for each query and batch, whatever the size of the base.
+    k rows for each query and batch, whatever the size of the base. Vectors are
+    compared with those of their length; a null vector, or one with null or
+    non-finite components, is no neighbour and has none. The cosine distance from a
+    zero vector is 1.
     """
     kernel = vectors.METRICS[metric][1]
-    spark = base.sparkSession
-    found = []
-    rows = queries.select("qid", "qv").orderBy("qid")
-    count = rows.count()
-    for at in range(0, max(count, 1), QUERY_BLOCK):
-        block = rows.offset(at).limit(QUERY_BLOCK).toArrow()
-        ids = block["qid"].to_numpy()
-        shared = spark.sparkContext.broadcast((ids, matrix(block["qv"]) if len(ids) else np.zeros((0, 1))))
-
-        def nearest(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, q = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(qids):
-                    continue
-                base_ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-                rough = kernel(q, x)
-                if skip_self:
-                    rough[qids[:, None] == base_ids[None, :]] = np.inf
-                keep = min(k + 8, rough.shape[1])
-                near = np.argpartition(rough, keep - 1, 1)[:, :keep]
-                i, j = np.repeat(np.arange(len(q)), keep), near.ravel()
-                good = np.isfinite(rough[i, j])
-                i, j = i[good], j[good]
-                dist = vectors.exact(metric, q[i], x[j])
-                order = np.lexsort((base_ids[j], dist, i))
-                i, j, dist = i[order], j[order], dist[order]
-                rank = np.arange(len(i)) - np.searchsorted(i, i)
-                i, j, dist = i[rank < k], j[rank < k], dist[rank < k]
-                yield pa.RecordBatch.from_arrays([pa.array(qids[i]), pa.array(base_ids[j]), pa.array(dist)], ["qid", "vec_id", "dist"])
-
-        found.append(base.select("vec_id", "embedding").mapInArrow(nearest, "qid long, vec_id long, dist double"))
+
+    def nearest(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rough = kernel(q, x)
+        if skip_self:
+            rough[qids[:, None] == ids[None, :]] = np.inf
+        keep = min(k + 8, rough.shape[1])
+        near = np.argpartition(rough, keep - 1, 1)[:, :keep]
+        i, j = np.repeat(np.arange(len(q)), keep), near.ravel()
+        good = np.isfinite(rough[i, j])
+        i, j = i[good], j[good]
+        dist = vectors.exact(metric, q[i], x[j])
+        order = np.lexsort((ids[j], dist, i))
+        i, j, dist = i[order], j[order], dist[order]
+        rank = np.arange(len(i)) - np.searchsorted(i, i)
+        return i[rank < k], j[rank < k], dist[rank < k]
+
+    found = [_against(block, base, nearest) for block in blocks(_asked(queries))]
     return top(reduce(DataFrame.unionByName, found), k).select("qid", "rank", "vec_id", "dist")
 
 
+def _asked(queries: DataFrame, *more: str) -> DataFrame:
+    return queries.select("qid", "qv", *more, *[c for c in queries.columns if c == "expression"])
+
+
+def _against(block: pa.Table, base: DataFrame, pick: Callable) -> DataFrame:
+    """(qid, vec_id, dist) of what pick(qids, queries, ids, vectors) takes from each batch of the base.
+
+    Queries go together by the length of their vectors and their expression, which is
+    told for a batch once.
+    """
+    parts, labelled = [], "expression" in block.column_names
+    lengths = pc.fill_null(pc.list_value_length(block["qv"]), -1).to_numpy()
+    texts = block["expression"].to_pylist() if labelled else [None] * len(block)
+    qids = block["qid"].to_numpy()
+    for d in np.unique(lengths[lengths > 0]).tolist():
+        at, q = vectors_of(block["qv"], d)
+        by_text: dict[str | None, list[int]] = {}
+        for n, i in enumerate(at.tolist()):
+            by_text.setdefault(texts[i], []).append(n)
+        parts += [(d, text, qids[at[rows]], q[rows]) for text, rows in by_text.items()]
+    shared = base.sparkSession.sparkContext.broadcast(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            opened: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for d, text, some, q in shared.value:
+                if d not in opened:
+                    opened[d] = vectors_of(batch.column(1), d)
+                at, x = opened[d]
+                if text is not None:
+                    inside = label_functions.arrow_rows_that_hold(text, batch.column(2), batch.column(3))[at]
+                    at, x = at[inside], x[inside]
+                if len(at):
+                    i, j, dist = pick(some, q, ids[at], x)
+                    yield pa.RecordBatch.from_arrays([pa.array(some[i], pa.int64()), pa.array(ids[at[j]], pa.int64()), pa.array(dist, pa.float64())], ["qid", "vec_id", "dist"])
+
+    return base.select("vec_id", "embedding", *(["labels", "is_universal"] if labelled else [])).mapInArrow(run, "qid long, vec_id long, dist double")
+
+
 def blocks(queries: DataFrame, most: int | None = None) -> Iterator[pa.Table]:
-    """The queries in blocks of at most so many, as Arrow tables; one empty block if there are none."""
-    rows = queries.orderBy("qid")
+    """The queries in blocks of about so many at most, as Arrow tables; one empty block if there are none.
+
+    More than one block is dealt by a hash of the qid, so that no block sorts the others.
+    """
     most = most or QUERY_BLOCK
-    for at in range(0, max(rows.count(), 1), most):
-        yield rows.offset(at).limit(most).toArrow()
+    first = queries.limit(most + 1).toArrow()
+    if len(first) <= most:
+        yield first.sort_by("qid")
+        return
+    n = math.ceil(1.1 * queries.count() / most)
+    for number in range(n):
+        yield queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == number).toArrow().sort_by("qid")
 
 
 def within(queries: DataFrame, base: DataFrame, metric: str = "l2") -> DataFrame:
     """(qid, vec_id, dist) of all rows no farther from a query (qid, qv, most) than its distance most."""
     kernel = vectors.METRICS[metric][1]
     found = []
-    for block in blocks(queries.select("qid", "qv", "most")):
-        ids = block["qid"].to_numpy()
-        shared = base.sparkSession.sparkContext.broadcast((ids, matrix(block["qv"]) if len(ids) else np.zeros((0, 1)), block["most"].to_numpy()))
-
-        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, q, most = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(qids):
-                    continue
-                base_ids, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-                i, j = np.nonzero(kernel(q, x) <= most[:, None] + 1e-6)
-                dist = vectors.exact(metric, q[i], x[j])
-                good = dist <= most[i]
-                yield pa.RecordBatch.from_arrays([pa.array(qids[i][good]), pa.array(base_ids[j][good]), pa.array(dist[good])], ["qid", "vec_id", "dist"])
-
-        found.append(base.select("vec_id", "embedding").mapInArrow(near, "qid long, vec_id long, dist double"))
+    for block in blocks(_asked(queries, "most")):
+        bounds = dict(zip(block["qid"].to_pylist(), block["most"].to_pylist(), strict=True))
+
+        def near(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, bounds=bounds) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            most = np.array([bounds[i] for i in qids.tolist()])
+            i, j = np.nonzero(kernel(q, x) <= most[:, None] + 1e-6)
+            dist = vectors.exact(metric, q[i], x[j])
+            good = dist <= most[i]
+            return i[good], j[good], dist[good]
+
+        found.append(_against(block, base, near))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -5,10 +5,15 @@ The last operation on an id wins, in the order of the log's sequence number.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph as graphs
+from lodestone.operators import knn
 
 
 def latest(log: DataFrame, key: str = "vec_id", order: str = "seq") -> DataFrame:
@@ -35,53 +40,130 @@ def delete(live: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]:
     return live.join(tags, "vec_id", "left_anti"), tags.join(live.select("vec_id"), "vec_id", "left_anti")
 
 
-def merge(base: DataFrame, graph: DataFrame, delta: DataFrame, deleted: DataFrame, degree: int = 32) -> tuple[DataFrame, DataFrame]:
+def sampled_ids(spark: SparkSession, first: int, end: int, n: int, seed: int = 0) -> DataFrame:
+    """(vec_id): n distinct ids of [first, end), those that come first by a seeded hash; an error if there are fewer."""
+    if end - first < n:
+        raise ValueError("not enough ids to sample")
+    # a hash below this bound holds more than n ids almost surely; else all are ordered
+    ids = spark.range(first, end).select(F.col("id").alias("vec_id"))
+    share = min(1.0, (n + 10 * n**0.5 + 50) / max(end - first, 1))
+    hashed = ids.withColumn("h", F.xxhash64("vec_id", F.lit(seed)))
+    few = hashed.where(F.col("h") < F.lit(int(-(2**63) + share * (2**64 - 1024)))) if share < 1 else hashed
+    picked = few.orderBy("h", "vec_id").limit(n).select("vec_id")
+    return picked if share == 1 or picked.count() == n else hashed.orderBy("h", "vec_id").limit(n).select("vec_id")
+
+
+def rows_to_insert(spark: SparkSession, total: int, n: int, seed: int = 0) -> DataFrame:
+    """(slot, vec_id): n rows of [0, total), distinct if there are so many, else with repeats."""
+    if total <= 0:
+        raise ValueError("no rows to sample")
+    if total >= n:
+        ids = sampled_ids(spark, 0, total, n, seed)
+        return ids.select(F.monotonically_increasing_id().alias("slot"), "vec_id")
+    return spark.range(n).select(F.col("id").alias("slot"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(total)).alias("vec_id"))
+
+
+def bernoulli(rows: DataFrame, rate: float, seed: int = 0, key: str = "vec_id") -> DataFrame:
+    """A share of the rows, picked by a hash of the key, and at least one of a table that is not empty."""
+    bound = int(-(2**63) + min(max(rate, 0.0), 1.0) * (2**64 - 1024))
+    h = F.xxhash64(key, F.lit(seed))
+    picked = rows.where(h < F.lit(bound)) if rate < 1 else rows
+    if not picked.isEmpty():
+        return picked
+    return rows.orderBy(h, key).limit(1)
+
+
+def merge(base: DataFrame, graph: DataFrame, delta: DataFrame, deleted: DataFrame, degree: int = 32, alpha: float = 1.2, sample: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The next version's vectors and graph: tombstones leave, edges are repaired, new rows are linked.
 
-    New rows are linked to their nearest old ones by exact search and back, and
-    no node keeps more than `degree` edges.
+    New rows get their `2 * degree` nearest by exact search as candidates, and are
+    candidates of these; the nodes whose edges changed are pruned again, so that a kept
+    neighbour covers what lies near it and long edges stay. No node keeps more than
+    `degree` edges; a node that nothing touched keeps its edges as they are.
     """
-    from lodestone.operators import knn
-
     gone = deleted.select("vec_id").distinct()
     vectors = base.join(delta.select("vec_id"), "vec_id", "left_anti").unionByName(delta).join(gone, "vec_id", "left_anti")
     stale = gone.unionByName(delta.select("vec_id")).distinct()
-    kept = graphs.repaired(graph.select("vec_id", "nbrs"), stale)
-    near = knn.exact_knn(delta.join(gone, "vec_id", "left_anti").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), vectors, max(degree // 2, 1), skip_self=True)
+    lists = graph.select("vec_id", "nbrs")
+    kept = graphs.repaired(lists, stale, sample)
+    near = knn.exact_knn(delta.join(gone, "vec_id", "left_anti").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), vectors, 2 * degree, skip_self=True)
     forth = near.select(F.col("qid").alias("vec_id"), F.col("vec_id").alias("nbr"))
-    edges = kept.select("vec_id", F.explode("nbrs").alias("nbr")).unionByName(forth).unionByName(forth.select(F.col("nbr").alias("vec_id"), F.col("vec_id").alias("nbr"))).distinct()
-    far = edges.join(vectors.select("vec_id", F.col("embedding").alias("a")), "vec_id").join(vectors.select(F.col("vec_id").alias("nbr"), F.col("embedding").alias("b")), "nbr")
-    from lodestone.functions.vectors import squared_l2
-
-    ranked = knn.top(far.select(F.col("vec_id").alias("qid"), F.col("nbr").alias("vec_id"), squared_l2(F.col("a"), F.col("b")).alias("dist")), degree)
-    lists = ranked.groupBy(F.col("qid").alias("vec_id")).agg(F.array_sort(F.collect_list("vec_id")).alias("nbrs"))
-    return vectors, vectors.select("vec_id").join(lists, "vec_id", "left").select("vec_id", F.coalesce("nbrs", F.array().cast("array<bigint>")).alias("nbrs"))
+    more = forth.unionByName(forth.select(F.col("nbr").alias("vec_id"), F.col("vec_id").alias("nbr")))
+    before = lists.select("vec_id", F.array_sort("nbrs").alias("before"))
+    changed = kept.join(before, "vec_id").where(F.col("before") != F.array_sort("nbrs")).select("vec_id").unionByName(more.select("vec_id")).distinct()
+    edges = kept.select("vec_id", F.explode("nbrs").alias("nbr")).unionByName(more).join(changed, "vec_id", "left_semi")
+    lists = graphs.pruned(edges, vectors, degree, alpha).unionByName(kept.join(changed, "vec_id", "left_anti"))
+    whole = vectors.select("vec_id").join(lists, "vec_id", "left").select("vec_id", F.slice(F.coalesce("nbrs", F.array().cast("array<bigint>")), 1, degree).alias("nbrs"))
+    return vectors, whole
 
 
 class Versions:
-    """Versioned tables in one folder: each version is an immutable directory, a pointer names the current one.
+    """Versioned tables in one folder: tables are immutable directories, a pointer names those of the current version.
 
-    Everything goes through Spark's file sources, so the folder can lie in any store;
-    the pointer is a table that is appended to, and its highest version counts.
+    Everything goes through Spark's file sources, so the folder can lie in any store.
+    The pointer is a table that is appended to with one file for each version, last of
+    all, and its highest version counts: a writer that stops before leaves the version
+    before. A table may have several directories, those that were appended.
     """
 
+    POINTER = "version long, name string, path string, batch long"
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def current(self) -> int | None:
-        from pyspark.errors import AnalysisException
-
+    def _pointer(self) -> list:
+        """The rows of the current version: one for each directory."""
         try:
-            return self.spark.read.schema("version long").parquet(f"{self.folder}/current").agg(F.max("version")).first()[0]
-        except AnalysisException:
-            return None
-
-    def write(self, tables: dict[str, DataFrame]) -> int:
-        version = (self.current() or 0) + 1
-        for name, df in tables.items():
-            df.write.parquet(f"{self.folder}/v={version}/{name}")
-        self.spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(f"{self.folder}/current")
+            rows = self.spark.read.schema(self.POINTER).parquet(f"{self.folder}/current")
+            last = rows.agg(F.max("version")).first()[0]
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return []
+        return [] if last is None else sorted(rows.where(F.col("version") == last).collect(), key=lambda r: r["path"] or "")
+
+    def current(self) -> int | None:
+        rows = self._pointer()
+        return rows[0]["version"] if rows else None
+
+    def batch(self) -> int:
+        """The highest number that a write was given; -1 if none was."""
+        return max((r["batch"] for r in self._pointer() if r["batch"] is not None), default=-1)
+
+    def names(self) -> set[str]:
+        return {r["name"] for r in self._pointer() if r["path"]}
+
+    def stage(self, name: str, df: DataFrame) -> str:
+        """Write a table that no version names yet; its path, for ``staged`` and ``write``."""
+        path = f"t-{uuid.uuid4().hex}/{name}"
+        df.write.parquet(f"{self.folder}/{path}")
+        return path
+
+    def staged(self, path: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{path}")
+
+    def write(self, tables: dict[str, DataFrame | str], append: dict[str, DataFrame | str] | None = None, drop: Iterable[str] = (), batch: int | None = None) -> int:
+        """The next version: tables (or what was staged) replace those of their name, append adds to them, drop leaves them out; others stay.
+
+        batch is remembered by this version and those after it.
+        """
+        rows = self._pointer()
+        version = (rows[0]["version"] if rows else 0) + 1
+        known = max((r["batch"] for r in rows if r["batch"] is not None), default=None)
+        gone = {*tables, *drop}
+        places = [(r["name"], r["path"]) for r in rows if r["path"] and r["name"] not in gone]
+        for name, df in [*tables.items(), *(append or {}).items()]:
+            places.append((name, df if isinstance(df, str) else self.stage(name, df)))
+        pointer = [(version, n, p, known if batch is None else batch) for n, p in places or [("", None)]]
+        self.spark.createDataFrame(pointer, self.POINTER).coalesce(1).write.mode("append").parquet(f"{self.folder}/current")
         return version
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/v={version or self.current()}/{name}")
+        if version is None:
+            rows = self._pointer()
+        else:
+            rows = self.spark.read.schema(self.POINTER).parquet(f"{self.folder}/current").where(F.col("version") == version).collect()
+        paths = [f"{self.folder}/{r['path']}" for r in rows if r["name"] == name and r["path"]]
+        if not paths:
+            raise ValueError(f"no table {name} in version {version or 'current'}")
+        return self.spark.read.parquet(*paths)

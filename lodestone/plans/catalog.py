@@ -8,6 +8,7 @@ the rows whose id is divisible by 20. The update log is the events table: an
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import labels as L
 from lodestone.functions import vectors as V
+from lodestone.index import Index
 from lodestone.operators import clustering, graph, hybrid, knn, metrics, postings, quantizer, updates
 from lodestone.sources import vecfiles
 from lodestone.streaming import ingest
@@ -77,9 +79,13 @@ def rounded(df: DataFrame, column: str = "dist", places: int = 6) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place that the session names; a local one only where it names none."""
+    """A new folder in the shared place that the session names; a local session that names none has a temporary one."""
     base = spark.sparkContext._jsc.sc().getCheckpointDir()
-    root = base.get() if base.isDefined() else "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    root = base.get() if base.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -158,10 +164,11 @@ def vector_norms(spark, sf):
     return embeddings(spark, sf).select("vec_id", F.round(F.sqrt(V.squared_norm(e)), 6).alias("norm"), (F.round(V.total(V.normalized(e, 1e-12)), 5) + 0.0).alias("unit_sum"), F.size(e).alias("dimension"))
 
 
-@query("distance_functions", ", x as (select qid, vec_id, e, qe from q, v) select qid, vec_id, round(list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - qe[i]) * (e[i] - qe[i]))), 6) as l2, round(1 - list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] * qe[i])) / sqrt(list_sum(list_transform(e, lambda x: x * x)) * list_sum(list_transform(qe, lambda x: x * x))), 6) + 0.0 as cosine from x")
+@query("distance_functions", ", x as (select qid, vec_id, e, qe from v join q on qid = vec_id - vec_id % 20) select qid, vec_id, round(list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - qe[i]) * (e[i] - qe[i]))), 6) as l2, round(1 - list_sum(list_transform(range(1, len(e) + 1), lambda i: e[i] * qe[i])) / sqrt(list_sum(list_transform(e, lambda x: x * x)) * list_sum(list_transform(qe, lambda x: x * x))), 6) + 0.0 as cosine from x")
 def distance_functions(spark, sf):
     base = embeddings(spark, sf)
-    pairs = base.crossJoin(F.broadcast(asked(base)))
+    near = base.withColumn("qid", F.col("vec_id") - F.col("vec_id") % 20)
+    pairs = near.join(asked(base), "qid")
     return pairs.select("qid", "vec_id", F.round(V.squared_l2(F.col("qv"), F.col("embedding")), 6).alias("l2"), (F.round(V.cosine_distance(F.col("qv"), F.col("embedding")), 6) + 0.0).alias("cosine"))
 
 
@@ -196,7 +203,7 @@ def kmeans_step(spark, sf):
 @query("assign_topk_base", _NEAR + " select vec_id, rank, center, round(dist, 6) as dist from r where rank <= 2")
 def assign_topk_base(spark, sf):
     base = embeddings(spark, sf)
-    return rounded(clustering.nearest_centers(base, first_centers(base, 8), 2).drop("embedding"))
+    return rounded(clustering.nearest_centers(base.select("vec_id", "embedding"), first_centers(base, 8), 2).drop("embedding"))
 
 
 @query("cluster_sizes", _NEAR + " select center, count(*) as n from r where rank <= 2 group by center")
@@ -205,9 +212,17 @@ def cluster_sizes(spark, sf):
     return clustering.nearest_centers(base, first_centers(base, 8), 2).groupBy("center").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("kmeans_partition")
+@query("kmeans_partition", "select count(*) as n, count(distinct vec_id) as n_ids, 2::bigint as least_shards, 2::bigint as most_shards, true as within_bound from embeddings, (select unnest(range(0, 2)))")
 def kmeans_partition(spark, sf):
-    return clustering.partition(embeddings(spark, sf), most_rows=600).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+    """Every row in exactly two shards of at most 300 rows (or all rows there are, over 300)."""
+    base = embeddings(spark, sf)
+    parts, centers = clustering.partition(base, most_rows=300)
+    each = parts.groupBy("vec_id").agg(F.count_distinct("shard").alias("s"), F.count(F.lit(1)).alias("m"))
+    if len(centers) == 1:  # a base that fits one shard is one
+        each = each.select("vec_id", (F.col("s") + 1).alias("s"), (F.col("m") + 1).alias("m"))
+    sums = each.agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("n_ids"), F.min("s").alias("least_shards"), F.max("s").alias("most_shards"))
+    largest = parts.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") <= 300).alias("within_bound"))
+    return sums.crossJoin(largest)
 
 
 @query("sample_hash", "select vec_id from (select vec_id, (vec_id * 7919 + 17) % 1000003 as h from embeddings) where h % 10 < 3")
@@ -262,16 +277,14 @@ _ADC = _CODES + ", adc as (select p.vec_id as qid, k.vec_id, sum(p.dist) as dist
 def pq_adc_fixed(spark, sf):
     base = embeddings(spark, sf)
     book = fixed_book(base)
-    found = quantizer.scan(asked(base), quantizer.encode(base, book), book, 10_000)
-    return rounded(knn.top(rounded(found.drop("rank"), places=9), K)).select("qid", "rank", "vec_id", "dist")
+    return rounded(quantizer.scan(asked(base), quantizer.encode(base, book), book, K, places=9))
 
 
 @query("pq_symmetric_fixed", _CODES + ", s as (select x.vec_id as qid, y.vec_id, round(sum(p.dist), 9) as dist from k x join k y on x.chunk = y.chunk join pc p on p.vec_id = x.code and p.chunk = x.chunk and p.code = y.code where x.vec_id % 20 = 0 group by all) " + _top("s"))
 def pq_symmetric_fixed(spark, sf):
     base = embeddings(spark, sf)
     book = fixed_book(base)
-    found = quantizer.scan(asked(base), quantizer.encode(base, book), book, 10_000, symmetric=True)
-    return rounded(knn.top(rounded(found.drop("rank"), places=9), K)).select("qid", "rank", "vec_id", "dist")
+    return rounded(quantizer.scan(asked(base), quantizer.encode(base, book), book, K, symmetric=True, places=9))
 
 
 @query("ivf_rerank", _ADC + ", near as (select qid, vec_id from (select qid, vec_id, row_number() over (partition by qid order by round(adc.dist, 9), vec_id) as r from adc join v using (vec_id) where " + f"{_HAS.format(1)} or {_HAS.format(12)}" + ") where r <= 50), x as (select d.* from d join near using (qid, vec_id)) " + _top("x"))
@@ -279,17 +292,19 @@ def ivf_rerank(spark, sf):
     base = rows(spark, sf)
     book = fixed_book(base)
     kept = base.where(L.predicate("1 | 12", F.col("labels"), F.col("is_universal")))
-    found = quantizer.scan(asked(base), quantizer.encode(kept, book), book, 10_000)
-    near = knn.top(rounded(found.drop("rank"), places=9), 5 * K)
+    near = quantizer.scan(asked(base), quantizer.encode(kept, book), book, 5 * K, places=9)
     return rounded(quantizer.rerank(near, asked(base), base, K, V.squared_l2))
 
 
-@query("pq_train")
+@query("pq_train", ", m as (select dim, avg(x) as m from (select unnest(range(0, len(e))) as dim, unnest(e) as x from v) group by dim), s as (select vec_id, unnest(range(0, len(e))) as dim, unnest(e) as x from v) select count(distinct vec_id) as n, true as beats_the_mean from s join m using (dim)")
 def pq_train(spark, sf):
+    """Trained codes, kept as a table and read again, leave at most half of the error that the mean leaves."""
     base = embeddings(spark, sf)
-    book = quantizer.train(base, 16)
+    book = quantizer.read_book(quantizer.book_table(spark, quantizer.train(base, 16)))
     coded = quantizer.decode(quantizer.encode(base, book), book)
-    return coded.select("vec_id", F.round(V.squared_l2(F.col("embedding"), F.col("decoded")), 6).alias("error"))
+    mean = F.array(*[F.lit(float(x)) for x in book.mean])
+    errors = coded.agg(F.count(F.lit(1)).alias("n"), F.sum(V.squared_l2(F.col("embedding"), F.col("decoded"))).alias("e"), F.sum(V.squared_l2(F.col("embedding"), mean)).alias("m"))
+    return errors.select("n", (F.col("e") <= 0.5 * F.col("m")).alias("beats_the_mean"))
 
 
 # ---- labels ---------------------------------------------------------------------
@@ -321,9 +336,13 @@ _EXPRESSIONS = {
 }
 
 
+def _texts(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, e) for i, (e, _) in _EXPRESSIONS.items()], "qid long, expression string")
+
+
 @query("label_expressions", ", x as (" + " union all ".join(f"select {i}::bigint as qid, vec_id from v where {sql}" for i, (_, sql) in _EXPRESSIONS.items()) + ") select qid, vec_id from x")
 def label_expressions(spark, sf):
-    return hybrid.candidates({i: e for i, (e, _) in _EXPRESSIONS.items()}, rows(spark, sf))
+    return hybrid.candidates(_texts(spark), rows(spark, sf))
 
 
 @query("label_set_algebra", ORACLES["label_expressions"].removeprefix("with " + BASE))
@@ -353,9 +372,7 @@ _ROUTES = ", n as (" + " union all ".join(f"select {i}::bigint as qid, count(*)
 
 @query("hit_rate_route", _ROUTES)
 def hit_rate_route(spark, sf):
-    base = rows(spark, sf)
-    expressions = {i: e for i, (e, _) in _EXPRESSIONS.items()}
-    return hybrid.routes(hybrid.candidates(expressions, base), expressions, base, 0.1)
+    return hybrid.routes(_texts(spark), rows(spark, sf), 0.1)
 
 
 # ---- updates --------------------------------------------------------------------
@@ -444,66 +461,195 @@ def shard_union_cap(spark, sf):
     return graph.merged(g.unionByName(back), 6).select("vec_id", F.explode("nbrs").alias("nbr"))
 
 
-def built(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch(spark, "graph")
-    graph.build(embeddings(spark, sf), degree=24, size=48, most_rows=1500).write.parquet(path)
-    return spark.read.parquet(path)
+#: Indexes that this session has built, by their table: the searches below share one.
+_BUILT: dict[tuple[int, str], Index] = {}
 
 
-@query("vamana_build")
-def vamana_build(spark, sf):
-    return built(spark, sf).select("shard", "vec_id", F.size("nbrs").alias("degree"), "is_entry")
+def built(spark: SparkSession, sf: str) -> Index:
+    """An index over the labelled rows, built once for a session and table."""
+    key = id(spark), sf
+    if key not in _BUILT:
+        _BUILT[key] = Index.build(spark, scratch(spark, "index"), rows(spark, sf).drop("label"), degree=32, size=64, most_rows=20_000)
+    return _BUILT[key]
 
 
-@query("greedy_search")
-def greedy_search(spark, sf):
-    return rounded(graph.search(built(spark, sf), asked(embeddings(spark, sf)), K))
+def _recall_row(found: DataFrame, truth: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """(n_queries, full, rows_held, exact_distances, recall_reached): what a search must keep, as one row.
+
+    truth: (qid, rank, vec_id, dist) of the exact search. full: queries with as many rows
+    as the truth; rows_held: rows that are twice or of no true distance are none.
+    """
+    both = found.select("qid", "vec_id", F.round("dist", 6).alias("dist")).join(truth.select("qid", "vec_id", F.round("dist", 6).alias("near")), ["qid", "vec_id"], "left")
+    hits = both.agg(F.count("near").alias("hits"), F.sum((F.abs(F.col("near") - F.col("dist")) > 1e-5).cast("long")).alias("odd"), (F.count(F.lit(1)) - F.count_distinct("qid", "vec_id")).alias("twice"))
+    sizes = truth.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).join(found.groupBy("qid").agg(F.count(F.lit(1)).alias("m")), "qid", "left")
+    full = sizes.agg(F.sum((F.coalesce("m", F.lit(0)) == F.col("n")).cast("long")).alias("full"), F.sum("n").alias("wanted"))
+    asked_ = queries.agg(F.count(F.lit(1)).alias("n_queries"))
+    joined = asked_.crossJoin(full).crossJoin(hits)
+    return joined.select("n_queries", "full", (F.coalesce("odd", F.lit(0)) + F.col("twice")).alias("odd_rows"), (F.col("hits") >= least * F.col("wanted")).alias("recall_reached"))
+
+
+_SEARCH = "select count(*) as n_queries, count(*) as full, 0::bigint as odd_rows, true as recall_reached from q"
+
+
+@query("vamana_build", ", x as (select 1) select count(*) as n, count(*) as reached, 0::bigint as self_links, 0::bigint as unknown_links, true as within_degree, true as entry_each from v")
+def vamana_build(spark, sf):
+    """Every row is reached from its shard's entry, over links to other rows, of bounded degree."""
+    g = graph.build(embeddings(spark, sf), degree=32, size=64)
+    path = scratch(spark, "graph")
+    g.write.parquet(path)
+    g = spark.read.parquet(path)
+    reached = graph.reachable(g)
+    edges = g.select("vec_id", F.explode("nbrs").alias("nbr"))
+    links = edges.join(g.select(F.col("vec_id").alias("nbr"), F.lit(1).alias("known")), "nbr", "left").agg(F.sum((F.col("vec_id") == F.col("nbr")).cast("long")).alias("self_links"), F.sum(F.col("known").isNull().cast("long")).alias("unknown_links"))
+    sizes = g.agg(F.count_distinct("vec_id").alias("n"), (F.max(F.size("nbrs")) <= 32).alias("within_degree"), (F.sum(F.col("is_entry").cast("long")) == F.count_distinct("shard")).alias("entry_each"))
+    return sizes.crossJoin(links).crossJoin(reached.agg(F.count(F.lit(1)).alias("reached")))
 
 
-def _beam(mode: str, width: int) -> Callable[[SparkSession, str], DataFrame]:
+def _search(name: str, **options) -> None:
+    @query(name, "," + "x as (select 1) " + _SEARCH)
     def run(spark, sf):
         base = embeddings(spark, sf)
-        return rounded(graph.search(built(spark, sf), asked(base), K, mode=mode, width=width, book=quantizer.train(base, 16)))
+        found = built(spark, sf).search(asked(base), K, **options)
+        return _recall_row(found, knn.exact_knn(asked(base), base, K), asked(base), 0.95)
 
-    return run
 
+_search("greedy_search", mode="greedy", size=96, use_codes=False)
+_search("beam_search", mode="beam", size=96, width=4)
+_search("page_search", mode="page", size=96, width=4)
+_search("pipe_search", mode="pipe", size=96, width=32)
+_search("interleaved_search", mode="interleaved", size=96, width=8)
+_search("sampled_entry_search", mode="beam", size=96, sampled=64)
+_search("beam_search_exact_scores", mode="beam", size=96, use_codes=False)
 
-for _name, _mode, _width in (("beam_search", "beam", 4), ("page_search", "page", 4), ("pipe_search", "pipe", 32), ("interleaved_search", "interleaved", 8)):
-    query(_name)(_beam(_mode, _width))
 
+def _asked_with(base: DataFrame, expression: Column | str) -> DataFrame:
+    text = F.lit(expression) if isinstance(expression, str) else expression
+    return asked(base).withColumn("expression", text)
 
-@query("filtered_beam_search")
-def filtered_beam_search(spark, sf):
-    base = rows(spark, sf)
-    allowed = asked(base).select("qid").crossJoin(base.where(L.predicate("1 | 12", F.col("labels"), F.col("is_universal"))).select("vec_id"))
-    return rounded(graph.search(built(spark, sf), asked(base), K, mode="beam", book=quantizer.train(base, 16), allowed=allowed))
+
+def _expressions_of(base: DataFrame) -> DataFrame:
+    """(qid, qv, expression): the queries share six expressions."""
+    texts = F.array(*[F.lit(e) for e, _ in _EXPRESSIONS.values()])
+    return _asked_with(base, F.element_at(texts, (F.floor(F.col("qid") / 20) % len(_EXPRESSIONS) + 1).cast("int")))
 
 
-def _expressions_of(base: DataFrame) -> dict[int, str]:
-    texts = [e for e, _ in _EXPRESSIONS.values()]
-    return {r["qid"]: texts[r["qid"] // 20 % len(texts)] for r in asked(base).select("qid").collect()}
+_HYBRID = "case (qid // 20) % 6 " + " ".join(f"when {i} then ({sql})" for i, (_, sql) in _EXPRESSIONS.items()) + " end"
 
 
-@query("hybrid_exact", ", x as (select d.* from d where case (qid // 20) % 6 " + " ".join(f"when {i} then ({sql})" for i, (_, sql) in _EXPRESSIONS.items()) + " end) " + _top("x"))
+@query("filtered_beam_search", "," + "x as (select 1) " + _SEARCH)
+def filtered_beam_search(spark, sf):
+    base = rows(spark, sf)
+    queries = _asked_with(base, "1 | 12")
+    return _recall_row(built(spark, sf).search(queries, K, size=160), hybrid.exact(queries, base, K), queries, 0.9)
+
+
+@query("hybrid_exact", f", x as (select d.* from d where {_HYBRID}) " + _top("x"))
 def hybrid_exact(spark, sf):
     base = rows(spark, sf)
-    return rounded(hybrid.exact(asked(base), _expressions_of(base), base, K))
+    return rounded(hybrid.exact(_expressions_of(base), base, K))
 
 
-@query("hybrid_search")
+@query("hybrid_search", f", x as (select qid, count(*) as n from d where {_HYBRID} group by qid) select count(*) as n_queries, (select count(*) from x) as full, 0::bigint as odd_rows, true as recall_reached from q")
 def hybrid_search(spark, sf):
     base = rows(spark, sf)
-    book = quantizer.train(base, 16)
-    return rounded(hybrid.search(asked(base), _expressions_of(base), base, built(spark, sf), quantizer.encode(base, book), book, K, multiplier=20))
+    index, queries = built(spark, sf), _expressions_of(base)
+    book = index.book()
+    found = hybrid.search(queries, base, index.versions.read("graph"), quantizer.encode(base, book), book, K, multiplier=20)
+    return _recall_row(found, hybrid.exact(queries, base, K), queries, 0.9)
+
+
+_LATER = ", w as (select vec_id, e from v where vec_id % 10 <> 1 and vec_id % 7 <> 3 union all select vec_id + 1000000, e from v where vec_id % 10 = 1 union all select vec_id, list_transform(e, lambda z: -z) from v where vec_id % 11 = 5 and vec_id % 10 <> 1 and vec_id % 7 = 3), z as (select qid, vec_id, list_sum(list_transform(range(1, len(e) + 1), lambda i: (e[i] - qe[i]) * (e[i] - qe[i]))) as dist from q, w)"
 
 
-@query("merge_deletes")
-def merge_deletes(spark, sf):
+def _changed(spark: SparkSession, sf: str) -> Index:
+    """An index of nine tenths of the rows; the others came in later under new ids, some went, some of these came back turned round."""
+    base = embeddings(spark, sf).select("vec_id", "embedding")
+    index = Index.build(spark, scratch(spark, "changed"), base.where("vec_id % 10 <> 1"), degree=32, size=64)
+    index.insert(base.where("vec_id % 10 = 1").withColumn("vec_id", F.col("vec_id") + 1_000_000))
+    index.remove(base.where("vec_id % 7 = 3 and vec_id % 10 <> 1"))
+    index.insert(base.where("vec_id % 11 = 5 and vec_id % 10 <> 1 and vec_id % 7 = 3").withColumn("embedding", F.transform("embedding", lambda x: -x)))
+    return index
+
+
+def _changed_search(name: str, merged: bool) -> None:
+    @query(name, _LATER + ", r as (select qid, vec_id, dist, row_number() over (partition by qid order by dist, vec_id) as rank from z) select count(distinct qid) as n_queries, count(distinct qid) as full, 0::bigint as odd_rows, true as recall_reached, (select count(*) from w) as live from r where rank <= 10")
+    def run(spark, sf):
+        base = embeddings(spark, sf)
+        index = _changed(spark, sf)
+        if merged:
+            index.merge()
+            Index.load(spark, index.versions.folder)
+        found = index.search(asked(base), K, size=96)
+        live = index.rows()
+        return _recall_row(found, knn.exact_knn(asked(base), live, K), asked(base), 0.95).crossJoin(live.agg(F.count(F.lit(1)).alias("live")))
+
+
+_changed_search("dynamic_search", merged=False)
+_changed_search("merge_deletes", merged=True)
+
+
+@query("index_rows", _LATER + " select vec_id, round(e[1], 5) as first from w")
+def index_rows(spark, sf):
+    return _changed(spark, sf).rows().select("vec_id", F.round(F.col("embedding")[0].cast("double"), 5).alias("first"))
+
+
+@query("index_check", "with n as (select count(*) as n from embeddings), x(what, found) as (select unnest(['rows of vectors', 'distinct ids', 'ids of the graph']), n from n union all select 'shards of odd size', 0 union all select unnest(['least length of a vector', 'largest length of a vector', 'dimension of the graph', 'dimension of the codebook']), 64 union all select unnest(['chunks of the codes', 'chunks of the codebook']), 16) select what, found::bigint as expected, found::bigint as found from x")
+def index_check(spark, sf):
+    return built(spark, sf).check()
+
+
+@query("index_mismatches", "select vec_id, case when vec_id % 13 = 0 then 'missing' when vec_id % 17 = 0 then 'differs' end as what from embeddings where vec_id % 13 = 0 or vec_id % 17 = 0 union all select -1, 'unknown'")
+def index_mismatches(spark, sf):
+    """What the index holds against a raw table with planted differences."""
+    stored = built(spark, sf).rows().select("vec_id", "embedding").where("vec_id % 13 <> 0")
+    odd = embeddings(spark, sf).limit(1).select(F.lit(-1).cast("long").alias("vec_id"), "embedding")
+    raw = embeddings(spark, sf).select("vec_id", F.when(F.col("vec_id") % 17 == 0, F.transform("embedding", lambda x: x + 1)).otherwise(F.col("embedding")).alias("embedding"))
+    return metrics.mismatches(stored.unionByName(odd), raw)
+
+
+@query("graph_merge", "select count(*) as n, 0::bigint as dead_links, 0::bigint as self_links, true as within_degree, true as linked from embeddings where vec_id % 7 <> 3")
+def graph_merge(spark, sf):
+    """Tables instead of an index: rows that went leave no link, new rows have links, degrees are bounded."""
     base = embeddings(spark, sf).select("vec_id", "embedding")
-    new = base.where("vec_id % 10 = 1")
     gone = base.where("vec_id % 7 = 3").select("vec_id")
-    _, merged = updates.merge(base.where("vec_id % 10 <> 1"), exact_graph(spark, sf), new, gone, 16)
-    return merged.select("vec_id", F.explode("nbrs").alias("nbr"))
+    kept, lists = updates.merge(base.where("vec_id % 10 <> 1"), exact_graph(spark, sf), base.where("vec_id % 10 = 1"), gone, 16)
+    edges = lists.select("vec_id", F.explode("nbrs").alias("nbr")).join(kept.select(F.col("vec_id").alias("nbr"), F.lit(1).alias("known")), "nbr", "left")
+    odd = edges.agg(F.sum(F.col("known").isNull().cast("long")).alias("dead_links"), F.sum((F.col("vec_id") == F.col("nbr")).cast("long")).alias("self_links"))
+    sizes = lists.agg(F.count(F.lit(1)).alias("n"), (F.max(F.size("nbrs")) <= 16).alias("within_degree"), (F.min(F.size("nbrs")) > 0).alias("linked"))
+    return sizes.crossJoin(odd)
+
+
+@query("layered_conjunction", ", dl as (select vec_id, [2, 13] as labels, vec_id % 40 = 1 as u from v where vec_id % 20 = 1), b as (select vec_id, labels, is_universal as u from v union all select * from dl), h as (select vec_id, bool_or(u) as u, count(distinct label) filter (label in (2, 13)) as n from (select vec_id, u, unnest(labels) as label from b) group by vec_id) select vec_id from h where (u or n = 2) and vec_id % 9 <> 4")
+def layered_conjunction(spark, sf):
+    base = rows(spark, sf)
+    delta = base.where("vec_id % 20 = 1").select("vec_id", F.array(F.lit(2), F.lit(13)).alias("labels"), (F.col("vec_id") % 40 == 1).alias("is_universal"))
+    return postings.conjunction([2, 13], base, delta, base.where("vec_id % 9 = 4").select("vec_id"))
+
+
+@query("log_replay", ORACLES["oplog_fold"].removeprefix("with " + BASE))
+def log_replay(spark, sf):
+    """The log appended in two parts and replayed."""
+    folder, entries = scratch(spark, "log"), log(spark, sf)
+    ingest.append(spark, folder, entries.where("seq % 2 = 0"))
+    ingest.append(spark, folder, entries.where("seq % 2 = 1"))
+    return ingest.replay(spark, folder).select("vec_id", F.array_join(F.col("labels").cast("array<string>"), ",").alias("labels"))
+
+
+@query("vector_rotation", ", n as (select vec_id, list_sum(list_transform(e, lambda x: x * x)) as s from v) select vec_id, round(sqrt(s), 5) as norm, true as turned from n")
+def vector_rotation(spark, sf):
+    """A random rotation changes the vectors and keeps their lengths."""
+    turn = V.random_rotation(64, 3).tolist()
+    e = embeddings(spark, sf).withColumn("r", V.rotated(F.col("embedding"), turn))
+    return e.select("vec_id", F.round(F.sqrt(V.squared_norm(F.col("r"))), 5).alias("norm"), (V.squared_l2(F.col("embedding"), F.col("r")) > 1e-6).alias("turned"))
+
+
+@query("center_residuals", _NEAR + " select r.vec_id, round(dist, 6) as size, round(e[1] - ce[1], 5) + 0.0 as first from r join c using (center) where rank = 1")
+def center_residuals(spark, sf):
+    base = embeddings(spark, sf)
+    centers = first_centers(base, 8)
+    places = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in centers])
+    near = clustering.nearest_centers(base, centers).withColumn("r", V.residual(F.col("embedding"), F.element_at(places, (F.col("center") + 1).cast("int"))))
+    return near.select("vec_id", F.round(V.squared_norm(F.col("r")), 6).alias("size"), (F.round(F.col("r")[0], 5) + 0.0).alias("first"))
 
 
 # ---- evaluation -----------------------------------------------------------------
@@ -555,16 +701,28 @@ def result_completeness(spark, sf):
     return metrics.incomplete(knn.exact_knn(asked(base), kept, K), K)
 
 
-@query("label_violations", "select qid, rank, vec_id, dist from (select 0::bigint as qid, 0::bigint as rank, 0::bigint as vec_id, 0::double as dist) where false")
+@query("label_violations", f", r as (select qid, vec_id, dist, labels, is_universal, row_number() over (partition by qid order by dist, vec_id) as rank from d) select qid, rank, vec_id, round(dist, 6) as dist from r where rank <= 10 and not ({_HYBRID})")
 def label_violations(spark, sf):
+    """What an unfiltered search returns against the filters that it did not know."""
     base = rows(spark, sf)
-    expressions = _expressions_of(base)
-    return metrics.violations(hybrid.exact(asked(base), expressions, base, K), hybrid.candidates(expressions, base)).select("qid", "rank", "vec_id", "dist")
+    return metrics.violations(rounded(knn.exact_knn(asked(base), base, K)), _expressions_of(base), base)
 
 
-@query("integrity_check", "select 0::bigint as odd_dimensions, 0::bigint as repeated_ids, 0::bigint as dangling_edges, 0::bigint as self_loops")
+@query("integrity_check", _GRAPH + ", t as (select vec_id, len(e) - (vec_id % 211 = 7)::int as size from v where vec_id % 97 <> 5), u as (select vec_id, nbr from g union all select vec_id, vec_id from g where vec_id % 89 = 3) select (max(size) - min(size))::bigint as odd_dimensions, count(*) filter (vec_id % 101 = 7)::bigint as repeated_ids, (select count(*) from u where nbr % 97 = 5) as dangling_edges, (select count(*) from u where vec_id = nbr) as self_loops from t")
 def integrity_check(spark, sf):
-    return metrics.integrity(embeddings(spark, sf), exact_graph(spark, sf))
+    """Planted faults: rows that are missing, twice, or a component short, and links to oneself."""
+    base = embeddings(spark, sf).select("vec_id", "embedding").where("vec_id % 97 <> 5")
+    odd = base.withColumn("embedding", F.when(F.col("vec_id") % 211 == 7, F.slice("embedding", 1, 63)).otherwise(F.col("embedding")))
+    links = exact_graph(spark, sf)
+    again = links.where("vec_id % 89 = 3").select("vec_id", F.transform("nbrs", lambda x: F.col("vec_id")).alias("nbrs"))
+    return metrics.integrity(odd.unionByName(base.where("vec_id % 101 = 7")), links.unionByName(again))
+
+
+@query("hit_ratios", ", x as (select qid, vec_id from (select *, row_number() over (partition by qid order by dist, vec_id) as r from d) where r <= 10), e as (select qid, max((vec_id >= 250)::int) as a, max((vec_id = qid)::int) as p from x group by qid) select count(*) as n_queries, round(avg(a), 6) as any_inserted, round(avg(p), 6) as probe_hit from e")
+def hit_ratios(spark, sf):
+    base = embeddings(spark, sf)
+    probes = asked(base).select("qid", F.col("qid").alias("vec_id"))
+    return metrics.hit_ratios(knn.exact_knn(asked(base), base, K), base.where("vec_id >= 250"), probes)
 
 
 # ---- files ----------------------------------------------------------------------
