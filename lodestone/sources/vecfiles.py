@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from lodestone.functions import labels, vectors
+
 #: element type -> (NumPy type, Spark type, Arrow type); Spark has no unsigned bytes
 ELEMENTS = {
     "float": ("<f4", "float", pa.float32()),
@@ -206,6 +208,39 @@ class _Writer(DataSourceArrowWriter):
                 fs.delete_file(m.file + ".done")
 
 
+class _TruthWriter(_Writer):
+    """One part file for each task: the ids, distances and tags of consecutive queries, block after block."""
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
+        fs, inner = _open(self.path)
+        fs.create_dir(inner, recursive=True)
+        blocks: list[list[np.ndarray]] = [[], [], []]
+        first = after = k = None
+        for batch in iterator:
+            if not batch.num_rows:
+                continue
+            qids = batch.column(batch.schema.get_field_index("qid")).to_numpy()
+            if after is not None and qids[0] != after or (np.diff(qids) != 1).any():
+                raise ValueError("queries must be consecutive: repartitionByRange and sort by qid first")
+            first, after = qids[0] if first is None else first, qids[-1] + 1
+            for block, (name, kind) in zip(blocks, (("ids", "<u4"), ("dists", "<f4"), ("tags", "<u4")), strict=True):
+                lists = batch.column(batch.schema.get_field_index(name))
+                lengths = {len(v) for v in lists.to_pylist()} | ({k} if k is not None else set())
+                if len(lengths) != 1:
+                    raise ValueError("every query needs as many rows of truth")
+                (k,) = lengths
+                block.append(lists.flatten().to_numpy(zero_copy_only=False).reshape(len(qids), k).astype(kind))
+        if first is None:
+            return Part(None)
+        name = f"{inner}/part-{first:020d}-{uuid.uuid4().hex}.truth"
+        with fs.open_output_stream(name + ".done") as target:
+            target.write(np.array([after - first, k], "<i4").tobytes())
+            for block in blocks:
+                for x in block:
+                    target.write(x.tobytes())
+        return Part(name)
+
+
 class _Vectors(DataSource):
     layout = "bin"
 
@@ -244,17 +279,62 @@ class Truth(DataSource):
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _TruthReader(dict(self.options), "truth")
 
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
+        return _TruthWriter(dict(self.options), "truth")
+
 
 def register(spark: SparkSession) -> None:
     for source in (VecBin, Vecs, Truth):
         spark.dataSource.register(source)
 
 
-def write(df: DataFrame, path: str, layout: str = "vecbin", element: str = "float") -> None:
-    """Part files of consecutive rows. vec_id must be gapless from 0."""
+def write(df: DataFrame, path: str, layout: str = "vecbin", element: str = "float", normalize: bool = False) -> None:
+    """Part files of consecutive rows, of length one if asked for. vec_id must be gapless from 0."""
     register(df.sparkSession)
-    ordered = df.select("vec_id", "embedding").repartitionByRange("vec_id").sortWithinPartitions("vec_id")
-    ordered.write.format(layout).option("element", element).mode("append").save(path)
+    ordered = df.select("vec_id", vectors.normalized(F.col("embedding"), 1e-12).alias("embedding") if normalize else "embedding")
+    ordered.repartitionByRange("vec_id").sortWithinPartitions("vec_id").write.format(layout).option("element", element).mode("append").save(path)
+
+
+def metadata(spark: SparkSession, path: str, layout: str = "vecbin", element: str = "float") -> DataFrame:
+    """(file, first_row, n, dimension) from the headers and sizes of the files alone."""
+    reader = _Reader({"path": path, "element": element}, "vecs" if layout == "vecs" else "bin")
+    rows = [(file, first, *reader._shape(file, size)) for file, first, size in _files(path)]
+    return spark.createDataFrame(rows, "file string, first_row long, n long, dimension long")
+
+
+def write_truth(truth: DataFrame, path: str) -> None:
+    """Truth files from rows (qid, rank, vec_id, dist and, if there is one, tag; else the id is the tag).
+
+    qid must be gapless from 0, and every query have the same number of rows.
+    """
+    register(truth.sparkSession)
+    tag = F.col("tag") if "tag" in truth.columns else F.col("vec_id")
+    lists = truth.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "dist", tag.alias("tag")))).alias("x"))  # k rows of a query
+    lists = lists.select("qid", F.col("x.vec_id").alias("ids"), F.col("x.dist").alias("dists"), F.col("x.tag").alias("tags"))
+    lists.repartitionByRange("qid").sortWithinPartitions("qid").write.format("truth").mode("append").save(path)
+
+
+#: What stands for no row in result files.
+NO_ROW = 0xFFFFFFFF
+
+
+def write_results(results: DataFrame, path: str, k: int) -> None:
+    """Results (qid, rank, vec_id, dist) as two matrices of k columns, ``ids`` and ``dists``; short lists end in NO_ROW and infinity.
+
+    qid must be gapless from 0.
+    """
+    lists = results.where(F.col("rank") <= k).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id", "dist"))).alias("x"))
+    more = F.lit(k) - F.size("x")
+    for name, column, pad, element in (("ids", "vec_id", F.lit(NO_ROW).cast("long"), "uint32"), ("dists", "dist", F.lit(float("inf")), "float")):
+        values = F.concat(F.col(f"x.{column}"), F.array_repeat(pad, more))
+        write(lists.select(F.col("qid").alias("vec_id"), values.alias("embedding")), f"{path}/{name}", "vecbin", element)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """(qid, rank, vec_id, dist) of what ``write_results`` left."""
+    ids, dists = (read(spark, f"{path}/{n}", "vecbin", e).select(F.col("vec_id").alias("qid"), F.col("embedding").alias(n)) for n, e in (("ids", "uint32"), ("dists", "float")))
+    rows = ids.join(dists, "qid").select("qid", F.posexplode(F.arrays_zip("ids", "dists")).alias("p", "x"))
+    return rows.select("qid", (F.col("p") + 1).cast("long").alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.dists").cast("double").alias("dist")).where(F.col("vec_id") != NO_ROW)
 
 
 def read(spark: SparkSession, path: str, layout: str = "vecbin", element: str = "float", **options) -> DataFrame:
@@ -262,14 +342,94 @@ def read(spark: SparkSession, path: str, layout: str = "vecbin", element: str =
     return spark.read.format(layout).option("element", element).options(**options).load(path)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(number, line) of a text file, without carriage returns.
+
+    Line numbers need the counts of the parts before, which zipWithIndex takes in one pass more.
+    """
+    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("number long, line string")
+    return lines.withColumn("line", F.regexp_replace("line", "\r", ""))
+
+
 def label_lines(spark: SparkSession, path: str, universal: int | None = None) -> DataFrame:
     """(vec_id, labels, is_universal) from lines of comma-separated numbers; a line's number is its id.
 
     Blank lines have an id and no labels; fields that are not numbers are skipped.
-    Line numbers need the counts of the parts before, which zipWithIndex takes in
-    one pass more.
     """
-    lines = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0])).toDF("vec_id long, line string")
-    numbers = F.filter(F.transform(F.split(F.regexp_replace("line", "\r", ""), ","), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull())
-    found = lines.select("vec_id", F.array_distinct(numbers).alias("labels"))
+    numbers = F.filter(F.transform(F.split("line", ","), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull())
+    found = numbered_lines(spark, path).select(F.col("number").alias("vec_id"), F.array_distinct(numbers).alias("labels"))
     return found.withColumn("is_universal", F.lit(False) if universal is None else F.array_contains("labels", universal))
+
+
+def query_lines(spark: SparkSession, path: str, n_queries: int) -> DataFrame:
+    """(qid, expression): one line for each query; another number of lines than queries is an error, as is a malformed line."""
+    found = numbered_lines(spark, path).select(F.col("number").alias("qid"), F.trim("line").alias("expression"))
+    n = found.count()
+    if n != n_queries:
+        raise ValueError(f"{n} lines for {n_queries} queries")
+    for row in found.select("expression").distinct().toLocalIterator():
+        labels.parse(row["expression"])
+    return found
+
+
+def tag_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(vec_id) of numbers divided by white space, up to the first that is none, each once."""
+    words = spark.read.text(path, wholetext=True).select(F.filter(F.split("value", r"\s+"), lambda x: x != "").alias("w"))
+    numbers = F.transform("w", lambda x: x.try_cast("long"))
+    first_odd = F.coalesce(F.nullif(F.array_position(F.transform(numbers, lambda x: x.isNull().cast("int")), 1), F.lit(0)), F.size("w") + 1)
+    return words.select(F.explode(F.slice(numbers, 1, (first_odd - 1).cast("int"))).alias("vec_id")).distinct()
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(page, slot, vec_id) of a page layout file: three 64-bit numbers (rows of a page, pages, rows), then for each
+    page its number of rows and their ids, padded to a page's rows or not; the file's size tells which."""
+    fs, inner = _open(path)
+    size = fs.get_file_info(inner).size
+    with fs.open_input_file(inner) as f:
+        most, pages, rows = (int(x) for x in np.frombuffer(f.read(24), "<u8"))
+    padded = size == 24 + 4 * pages * (1 + most)
+    if not padded and size != 24 + 4 * (pages + rows):
+        raise ValueError(f"{path} is no page layout of {pages} pages")
+    step = 1 << 20
+    jobs = spark.createDataFrame([(at, min(step, pages - at)) for at in range(0, pages, step)] if padded else [(0, pages)], "first long, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, name = _open(path)
+        for batch in batches:
+            for first, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with where.open_input_file(name) as f:
+                    if padded:
+                        table = np.frombuffer(f.read_at(4 * n * (1 + most), 24 + 4 * first * (1 + most)), "<u4").reshape(n, 1 + most)
+                        counts = table[:, 0].astype(np.int64)
+                        ids = table[:, 1:][np.arange(most)[None, :] < counts[:, None]]
+                    else:
+                        data = np.frombuffer(f.read_at(size - 24, 24), "<u4")
+                        counts, at = np.empty(n, np.int64), 0
+                        heads = np.empty(n, np.int64)
+                        for i in range(n):
+                            counts[i], heads[i] = data[at], at
+                            at += 1 + int(data[at])
+                        ids = np.delete(data, heads)
+                owner = np.repeat(np.arange(n), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(first + owner), pa.array(np.arange(len(owner)) - np.searchsorted(owner, owner)), pa.array(ids.astype(np.int64))], ["page", "slot", "vec_id"])
+
+    return jobs.mapInArrow(run, "page long, slot long, vec_id long")
+
+
+def write_pages(pages: DataFrame, path: str, most: int) -> None:
+    """A padded page layout file from (page, slot, vec_id); pages gapless from 0, at most `most` rows each.
+
+    The file is one stream; pages come to the driver in order, a part at a time.
+    """
+    lists = pages.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("slot", "vec_id"))).alias("x")).select("page", F.transform("x", lambda r: r["vec_id"]).alias("ids"))
+    sums = lists.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("ids")).alias("rows"), F.max(F.size("ids")).alias("most"), F.max("page").alias("last")).first()
+    if sums["n"] and (sums["most"] > most or sums["last"] != sums["n"] - 1):
+        raise ValueError("pages must be gapless from 0 and hold no more than a page's rows")
+    fs, inner = _open(path)
+    with fs.open_output_stream(inner) as f:
+        f.write(np.array([most, sums["n"], sums["rows"] or 0], "<u8").tobytes())
+        for row in lists.orderBy("page").toLocalIterator():
+            page = np.full(1 + most, NO_ROW, "<u4")
+            page[0] = len(row["ids"])
+            page[1 : 1 + len(row["ids"])] = row["ids"]
+            f.write(page.tobytes())
