@@ -34,7 +34,7 @@ OPTIONS = ("metric", "degree", "size", "alpha", "most_rows", "overlap", "dimensi
 class Index:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.versions = spark, updates.Versions(spark, folder)
-        self._meta: tuple[int, dict, quantizer.Codebook, np.ndarray] | None = None
+        self._meta: tuple[tuple, dict, quantizer.Codebook, np.ndarray] | None = None
 
     # ---- building and loading -----------------------------------------------------
 
@@ -106,9 +106,9 @@ class Index:
 
     def check(self) -> DataFrame:
         """(what, expected, found): rows, shards, dimension and chunks by the metadata and by the tables."""
-        meta, book, centers = self._state()
-        vectors = self.versions.read("vectors").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("ids"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
-        packed = self.versions.read("graph")
+        now, meta, book, centers = self._state()
+        vectors = now.read("vectors").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("vec_id").alias("ids"), F.min(F.size("embedding")).alias("low"), F.max(F.size("embedding")).alias("high")).first()
+        packed = now.read("graph")
         nodes = packed.select((F.octet_length("ids") / 8).cast("long").alias("n"), (F.octet_length("codes") / (2 * F.col("n"))).cast("long").alias("chunks"), F.col("n").alias("said"), "dimension")
         shards = nodes.agg(F.count(F.lit(1)).alias("shards"), F.sum((F.col("n") != F.col("said")).cast("long")).alias("odd"), F.max("chunks").alias("chunks"), F.max("dimension").alias("dimension")).first()
         held = graph.unpacked(packed).agg(F.count_distinct("vec_id").alias("n")).first()["n"]
@@ -121,28 +121,29 @@ class Index:
             found.append(("centers", shards["shards"], len(centers)))
         return self.spark.createDataFrame([(a, int(b), int(c or 0)) for a, b, c in found], "what string, expected long, found long")
 
-    def _state(self) -> tuple[dict, quantizer.Codebook, np.ndarray]:
-        """Metadata, codebook and centers of the current version; read once for a version."""
-        version = self.versions.current()
-        if version is None:
+    def _state(self) -> tuple[updates.Snapshot, dict, quantizer.Codebook, np.ndarray]:
+        """The current version, its metadata, codebook and centers; what did not change is not read again."""
+        now = self.versions.snapshot()
+        if now.version is None:
             raise ValueError("there is no index in this folder")
-        if self._meta is None or self._meta[0] != version:
-            meta = self.versions.read("meta").first().asDict()
-            book = quantizer.read_book(self.versions.read("book"))
-            rows = sorted(self.versions.read("centers").collect())  # one row for each shard
-            self._meta = version, meta, book, np.array([r["center"] for r in rows])
-        return self._meta[1:]
+        key = tuple(p for p in now.places if p[0] in ("meta", "book", "centers"))
+        if self._meta is None or self._meta[0] != key:
+            rows = sorted(now.read("centers").collect())  # one row for each shard
+            self._meta = key, now.read("meta").first().asDict(), quantizer.read_book(now.read("book")), np.array([r["center"] for r in rows])
+        return now, *self._meta[1:]
 
     def book(self) -> quantizer.Codebook:
-        return self._state()[1]
+        return self._state()[2]
+
+    def metric(self) -> str:
+        return self._state()[1]["metric"]
 
     # ---- reading ------------------------------------------------------------------
 
-    def _changes(self) -> tuple[DataFrame | None, DataFrame | None]:
+    def _changes(self, now: updates.Snapshot) -> tuple[DataFrame | None, DataFrame | None]:
         """(rows inserted since the merge that are live, ids of the base that are deleted or replaced)."""
-        names = self.versions.names()
-        delta = self.versions.read("delta") if "delta" in names else None
-        deleted = self.versions.read("deleted") if "deleted" in names else None
+        delta = now.read("delta") if "delta" in now.names else None
+        deleted = now.read("deleted") if "deleted" in now.names else None
         live, stale = None, []
         if delta is not None:
             last = updates.latest(delta)
@@ -155,10 +156,11 @@ class Index:
             stale.append(deleted.select("vec_id"))
         return live, reduce(DataFrame.unionByName, stale).distinct() if stale else None
 
-    def rows(self) -> DataFrame:
+    def rows(self, now: updates.Snapshot | None = None) -> DataFrame:
         """What is live: vec_id, embedding, labels, is_universal, tag."""
-        live, stale = self._changes()
-        base = self.versions.read("vectors")
+        now = now or self.versions.snapshot()
+        live, stale = self._changes(now)
+        base = now.read("vectors")
         if stale is not None:
             base = base.join(stale, "vec_id", "left_anti")
         return base if live is None else base.unionByName(live)
@@ -179,12 +181,12 @@ class Index:
         """
         if mode not in graph.MODES:
             raise ValueError(f"mode is one of {', '.join(graph.MODES)}")
-        meta, book, centers = self._state()
+        now, meta, book, centers = self._state()
         if meta["metric"] == "cosine":
             norm = F.sqrt(V.squared_norm(F.col("qv")))
             queries = queries.withColumn("qv", F.when(norm > 0, F.transform("qv", lambda x: x.cast("double") / norm)).otherwise(V.doubles(F.col("qv"))))
-        live, stale = self._changes()
-        packed = self.versions.read("graph")
+        live, stale = self._changes(now)
+        packed = now.read("graph")
         shared = {"mode": mode, "size": size, "width": width, "book": book if use_codes else None, "centers": centers, "probes": probes, **options}
         if stale is not None and not dynamic:
             found = graph.search(packed, queries, max(k, size), **shared).join(stale, "vec_id", "left_anti")
@@ -198,23 +200,22 @@ class Index:
             found = found.withColumn("dist", F.col("dist") / 2)
         if tags or vectors:
             wanted = ["vec_id", *(["tag"] if tags else []), *(["embedding"] if vectors else [])]
-            found = found.join(self.rows().select(*wanted), "vec_id", "left")
+            found = found.join(self.rows(now).select(*wanted), "vec_id", "left")
         return found
 
     def status(self) -> dict[str, int]:
         """Version, rows of the base, inserted and deleted since the merge, live rows."""
-        meta, _, centers = self._state()
-        live, stale = self._changes()
-        base = self.versions.read("vectors")
+        now, meta, _, centers = self._state()
+        live, stale = self._changes(now)
+        base = now.read("vectors")
         gone = base.join(stale, "vec_id", "left_semi").count() if stale is not None else 0
         new = live.count() if live is not None else 0
-        return {"version": self.versions.current(), "base": meta["rows"], "shards": len(centers), "inserted": new, "stale": gone, "live": meta["rows"] - gone + new}
+        return {"version": now.version, "base": meta["rows"], "shards": len(centers), "inserted": new, "stale": gone, "live": meta["rows"] - gone + new}
 
     # ---- changing -----------------------------------------------------------------
 
-    def _next(self) -> int:
-        names = self.versions.names()
-        last = [self.versions.read(n).agg(F.max("seq")).first()[0] for n in ("delta", "deleted") if n in names]
+    def _next(self, now: updates.Snapshot) -> int:
+        last = [now.read(n).agg(F.max("seq")).first()[0] for n in ("delta", "deleted") if n in now.names]
         return max([x for x in last if x is not None], default=0) + 1
 
     def insert(self, rows: DataFrame) -> int:
@@ -222,18 +223,19 @@ class Index:
 
         A vector that the index cannot hold (null, of another length, not finite) is an error.
         """
-        meta, _, _ = self._state()
+        now, meta, _, _ = self._state()
         rows = self._shaped(rows, meta["metric"]).dropDuplicates(["vec_id"])
         fit = knn.usable(rows, meta["dimension"])
         odd = rows.select("vec_id").join(fit.select("vec_id"), "vec_id", "left_anti").limit(1).collect()
         if odd:
             raise ValueError(f"row {odd[0]['vec_id']} has no usable vector")
-        return self.versions.write({}, append={"delta": rows.withColumn("seq", F.lit(self._next()).cast("long"))})
+        return self.versions.write({}, append={"delta": rows.withColumn("seq", F.lit(self._next(now)).cast("long"))})
 
     def remove(self, ids: DataFrame) -> DataFrame:
         """Delete rows by id, lazily: the ids that were not live."""
-        ids, seq = ids.select("vec_id").distinct(), self._next()
-        known = ids.join(self.rows().select("vec_id"), "vec_id", "left_semi").withColumn("seq", F.lit(seq).cast("long"))
+        now = self.versions.snapshot()
+        ids, seq = ids.select("vec_id").distinct(), self._next(now)
+        known = ids.join(self.rows(now).select("vec_id"), "vec_id", "left_semi").withColumn("seq", F.lit(seq).cast("long"))
         self.versions.write({}, append={"deleted": known})
         return ids.join(self.versions.read("deleted").where(F.col("seq") == seq), "vec_id", "left_anti")
 
@@ -241,8 +243,9 @@ class Index:
         """Delete so large a share of the live rows, of the base or of what was inserted; how many went."""
         if scope not in ("all", "base", "inserted"):
             raise ValueError("scope is all, base or inserted")
-        live, stale = self._changes()
-        base = self.versions.read("vectors").select("vec_id")
+        now = self.versions.snapshot()
+        live, stale = self._changes(now)
+        base = now.read("vectors").select("vec_id")
         base = base.join(stale, "vec_id", "left_anti") if stale is not None else base
         new = live.select("vec_id") if live is not None else base.limit(0)
         rows = base if scope == "base" else new if scope == "inserted" else base.unionByName(new)
@@ -257,18 +260,18 @@ class Index:
         changed is pruned again. A shard that has outgrown the bound makes a new
         partition of all shards.
         """
-        meta, book, centers = self._state()
-        live, stale = self._changes()
+        now, meta, book, centers = self._state()
+        live, stale = self._changes(now)
         if stale is None:
-            return self.versions.current()
+            return now.version
         options = {k: meta[k] for k in OPTIONS}
-        stored = self.versions.stage("vectors", self.rows())
+        stored = self.versions.stage("vectors", self.rows(now))
         rows = self.versions.staged(stored)
         n = rows.count()
         if not n:
             raise ValueError("no row would be left")
-        packed = graph.with_hidden(self.versions.read("graph"), stale)
-        new = live if live is not None else self.versions.read("vectors").limit(0)
+        packed = graph.with_hidden(now.read("graph"), stale)
+        new = live if live is not None else now.read("vectors").limit(0)
         placed, _ = clustering.partition(new, options["most_rows"], options["overlap"], centers=centers)
         merged = graph.with_codes(graph.merge_shards(packed, placed, options["degree"], options["size"], options["alpha"]), book)
         linked = self.versions.stage("graph", merged)
@@ -278,8 +281,8 @@ class Index:
 
     def rebuild(self) -> int:
         """A new graph over the live rows, quantiser as it is: the next version."""
-        meta, book, _ = self._state()
-        stored = self.versions.stage("vectors", self.rows())
+        now, meta, book, _ = self._state()
+        stored = self.versions.stage("vectors", self.rows(now))
         return self._write(stored, book, {k: meta[k] for k in OPTIONS}, self.versions.staged(stored).count())
 
 
@@ -308,8 +311,7 @@ def replay(index: Index, steps: list[tuple], k: int = 10, **options) -> DataFram
         seconds = time.perf_counter() - began
         if what == "search":
             live = index.rows()
-            metric = index._state()[0]["metric"]
-            recall = metrics.recall(rows, knn.exact_knn(given[0], live, k, metric), k).first()["recall"]
+            recall = metrics.recall(rows, knn.exact_knn(given[0], live, k, index.metric()), k).first()["recall"]
         found.append((number, what, n, seconds, metrics.throughput(n, seconds), recall))
     return index.spark.createDataFrame(found, "step int, what string, n long, seconds double, per_second double, recall double")
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -97,41 +98,64 @@ def merge(base: DataFrame, graph: DataFrame, delta: DataFrame, deleted: DataFram
     return vectors, whole
 
 
+@dataclass(frozen=True)
+class Snapshot:
+    """What one version holds: its tables stay readable whatever is written later."""
+
+    spark: SparkSession
+    folder: str
+    version: int | None = None
+    batch: int = -1
+    places: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def names(self) -> set[str]:
+        return {name for name, _ in self.places}
+
+    def read(self, name: str) -> DataFrame:
+        paths = [f"{self.folder}/{path}" for n, path in self.places if n == name]
+        if not paths:
+            raise ValueError(f"no table {name} in version {self.version}")
+        return self.spark.read.parquet(*paths)
+
+
 class Versions:
     """Versioned tables in one folder: tables are immutable directories, a pointer names those of the current version.
 
     Everything goes through Spark's file sources, so the folder can lie in any store.
-    The pointer is a table that is appended to with one file for each version, last of
+    The pointer is a table that is appended to with one row for each version, last of
     all, and its highest version counts: a writer that stops before leaves the version
     before. A table may have several directories, those that were appended.
     """
 
-    POINTER = "version long, name string, path string, batch long"
+    POINTER = "version long, batch long, tables array<struct<name: string, path: string>>"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self) -> list:
-        """The rows of the current version: one for each directory."""
+    def snapshot(self, version: int | None = None) -> Snapshot:
+        """The current version, or a given one; empty if there is none."""
         try:
             rows = self.spark.read.schema(self.POINTER).parquet(f"{self.folder}/current")
-            last = rows.agg(F.max("version")).first()[0]
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return []
-        return [] if last is None else sorted(rows.where(F.col("version") == last).collect(), key=lambda r: r["path"] or "")
+            return Snapshot(self.spark, self.folder)
+        rows = rows if version is None else rows.where(F.col("version") == version)
+        last = rows.agg(F.max_by(F.struct("version", "batch", "tables"), "version").alias("x")).first()["x"]
+        if last is None:
+            return Snapshot(self.spark, self.folder)
+        return Snapshot(self.spark, self.folder, last["version"], last["batch"], tuple((t["name"], t["path"]) for t in last["tables"]))
 
     def current(self) -> int | None:
-        rows = self._pointer()
-        return rows[0]["version"] if rows else None
+        return self.snapshot().version
 
     def batch(self) -> int:
         """The highest number that a write was given; -1 if none was."""
-        return max((r["batch"] for r in self._pointer() if r["batch"] is not None), default=-1)
+        return self.snapshot().batch
 
     def names(self) -> set[str]:
-        return {r["name"] for r in self._pointer() if r["path"]}
+        return self.snapshot().names
 
     def stage(self, name: str, df: DataFrame) -> str:
         """Write a table that no version names yet; its path, for ``staged`` and ``write``."""
@@ -147,23 +171,14 @@ class Versions:
 
         batch is remembered by this version and those after it.
         """
-        rows = self._pointer()
-        version = (rows[0]["version"] if rows else 0) + 1
-        known = max((r["batch"] for r in rows if r["batch"] is not None), default=None)
+        new = [(name, df if isinstance(df, str) else self.stage(name, df)) for name, df in [*tables.items(), *(append or {}).items()]]
+        before = self.snapshot()
         gone = {*tables, *drop}
-        places = [(r["name"], r["path"]) for r in rows if r["path"] and r["name"] not in gone]
-        for name, df in [*tables.items(), *(append or {}).items()]:
-            places.append((name, df if isinstance(df, str) else self.stage(name, df)))
-        pointer = [(version, n, p, known if batch is None else batch) for n, p in places or [("", None)]]
-        self.spark.createDataFrame(pointer, self.POINTER).coalesce(1).write.mode("append").parquet(f"{self.folder}/current")
+        places = [(n, p) for n, p in before.places if n not in gone] + new
+        version = (before.version or 0) + 1
+        row = (version, max(before.batch, -1 if batch is None else batch), places)
+        self.spark.createDataFrame([row], self.POINTER).coalesce(1).write.mode("append").parquet(f"{self.folder}/current")
         return version
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        if version is None:
-            rows = self._pointer()
-        else:
-            rows = self.spark.read.schema(self.POINTER).parquet(f"{self.folder}/current").where(F.col("version") == version).collect()
-        paths = [f"{self.folder}/{r['path']}" for r in rows if r["name"] == name and r["path"]]
-        if not paths:
-            raise ValueError(f"no table {name} in version {version or 'current'}")
-        return self.spark.read.parquet(*paths)
+        return self.snapshot(version).read(name)

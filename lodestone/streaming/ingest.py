@@ -25,13 +25,14 @@ def fold_stream(log: DataFrame, folder: str, trigger: dict | None = None, fold_a
     versions = Versions(spark, folder)
 
     def one(batch: DataFrame, number: int) -> None:
-        if versions.batch() >= number:
+        now = versions.snapshot()
+        if now.batch >= number:
             return
         rows = latest(batch.select("seq", "op", "vec_id", "labels"))
-        if number % fold_after or "state" not in versions.names():
+        if number % fold_after or "state" not in now.names:
             versions.write({}, append={"state": rows}, batch=number)
         else:
-            versions.write({"state": latest(rows.unionByName(versions.read("state")))}, batch=number)
+            versions.write({"state": latest(rows.unionByName(now.read("state")))}, batch=number)
 
     query = log.writeStream.foreachBatch(one).option("checkpointLocation", f"{folder}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
     query.awaitTermination()
@@ -61,6 +62,7 @@ def replay(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def live(versions: Versions, spark: SparkSession) -> DataFrame:
-    if "state" not in versions.names():
+    now = versions.snapshot()
+    if "state" not in now.names:
         return spark.createDataFrame([], "vec_id bigint, labels array<int>")
-    return latest(versions.read("state")).where(F.col("op") == "INSERT").select("vec_id", "labels")
+    return latest(now.read("state")).where(F.col("op") == "INSERT").select("vec_id", "labels")
