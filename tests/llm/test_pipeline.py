@@ -8,13 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodestone.llm import common, nbsvm, quality_rules, queries
+from lodestone.llm import common, minhash, nbsvm, quality_rules, queries
+from tests.llm.test_links import union_find
 from tests.llm.test_text_operators import brute_substring, prose, words
 
 
 @pytest.fixture(scope="module")
 def steps(spark, sf_dir):
-    docs = queries.table(spark, sf_dir, "documents").where("doc_id % 4 = 0")
+    docs = queries.table(spark, sf_dir, "documents")
     found = [docs]
     for name, stage in corpus_pipeline.STAGES:
         found.append(common.written(stage(spark, found[-1], sf_dir), name))
@@ -44,17 +45,48 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))}
 
 
+def pairs_at(sets, share=0.8):
+    """Pairs (i, j) of sets whose similarity is share or more: those that meet in one of their rarest shingles."""
+    count = Counter(x for s in sets.values() for x in s)
+    by = {}
+    for i, s in sets.items():
+        rare = sorted(s, key=lambda x: (count[x], x))
+        for x in rare[: len(s) - math.ceil(share * len(s)) + 1]:
+            by.setdefault(x, []).append(i)
+    met = {(i, j) for ids in by.values() for k, i in enumerate(ids) for j in ids[k + 1 :]}
+    return {(i, j) for i, j in met if len(sets[i] & sets[j]) >= share * len(sets[i] | sets[j])}
+
+
 def test_near_duplicates(steps):
+    """All pairs at 0.8 or more are found, nothing else is: one document stays of each group that such pairs make."""
     before, after = by_id(steps[2]), by_id(steps[3])
-    texts = Counter(r["text"] for r in before.values())
-    left = Counter(r["text"] for r in after.values())
-    assert all(n == 1 for n in left.values())
-    sets = {i: shingles(r["text"]) for i, r in before.items()}
-    for i in set(before) - set(after):  # what went has a near copy among the rows that there were
-        best = max((len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in before if j != i), default=0)
-        assert best >= 0.6 or texts[before[i]["text"]] > 1
-    missed = [(i, j) for i in after for j in after if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    assert len(missed) <= max(2, 0.3 * (len(before) - len(after)))
+    sets = {i: frozenset(shingles(r["text"])) for i, r in before.items()}
+    pairs = pairs_at(sets)
+    order = sorted(sets)
+    at = {i: n for n, i in enumerate(order)}
+    root = union_find(len(order), [(at[i], at[j]) for i, j in pairs])
+    left = Counter(root[at[i]] for i in after)
+    assert pairs and set(left) == set(root) and all(n == 1 for n in left.values())
+
+
+def test_near_duplicates_at_size(spark):
+    """Of all pairs of a larger table, a tenth at most may be lost; none below 0.8 may be linked."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    first = {}
+    for r in docs.collect():
+        first.setdefault(frozenset(shingles(r["text"])), r["doc_id"])
+    sets = {i: s for s, i in first.items()}
+    pairs = pairs_at(sets)
+    found = {r["doc_id"]: r["component_id"] for r in minhash.groups(minhash.marks(docs), "doc_id").collect()}
+    linked = sum(found[i] == found[j] for i, j in pairs)
+    assert len(pairs) > 20 and linked >= 0.9 * len(pairs)
+    order = sorted(sets)
+    at = {i: n for n, i in enumerate(order)}
+    root = union_find(len(order), [(at[i], at[j]) for i, j in pairs])
+    classes = {}
+    for i in order:
+        classes.setdefault(found[i], set()).add(root[at[i]])
+    assert all(len(c) == 1 for c in classes.values())
 
 
 def test_substrings(steps):
