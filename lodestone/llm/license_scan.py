@@ -84,6 +84,9 @@ EVERYDAY = frozenset("a all any are as be by except file for from in is it may n
     b"and can copy copyright deal form forms free into international license licensed licenses released source universal domain v".split()
 )
 
+#: Further words of statements that are common in prose, so that no line is compared for their sake alone.
+COMMON = frozenset(b"at either foundation later library modify option published redistribute".split())
+
 
 class Matcher:
     """Templates as unit vectors in an inverted index."""
@@ -95,7 +98,7 @@ class Matcher:
         self.names = [n.strip() for n in templates]
         self.idf = {t: math.log((1 + files) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary}
         self.unknown = math.log(1 + files) + 1
-        self.anchors = {t for t in vocabulary if t not in EVERYDAY and not re.fullmatch(rb"[0-9.-]+", t)}
+        self.anchors = {t for t in vocabulary if t not in EVERYDAY and t not in COMMON and not re.fullmatch(rb"[0-9.-]+", t)}
         self.anchors |= {t for c in counted if self.anchors.isdisjoint(c) for t in c}
         self.index: dict[bytes, list[tuple[int, float]]] = {t: [] for t in vocabulary}
         for i, counts in enumerate(counted):
