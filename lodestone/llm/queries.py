@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import binary_codes, license_scan, nbsvm, packing, quality_rules, sharding, simhash, substring_dedup, trie_bpe, warc
+from lodestone.llm import binary_codes, common, license_scan, nbsvm, packing, quality_rules, sharding, simhash, substring_dedup, trie_bpe, warc
 
 
 def vocabulary(name: str) -> str:
@@ -69,7 +69,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.concat(F.lit("part"), (F.col("doc_id") % 16).cast("string")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     files = license_scan.own_licenses(docs.select("doc_id", path.alias("path"), "text"), "text").drop("text")
-    found = license_scan.inherit(files, "path")
+    found = license_scan.inherit(common.written(files, "own"), "path")  # several branches read it; texts are scanned once
     return found.select("doc_id", "path", F.col("own.license").alias("own_license"), F.col("own.score").alias("own_score"), "license", "inherited_from", "inherited_depth")
 
 
