@@ -75,6 +75,12 @@ class Features:
         return np.concatenate([names, shapes, _pairs(names, 1), common.mixed(_pairs(shapes, 2) + again)])
 
 
+def _slots(keys: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """The slots of those features that the table holds, each once."""
+    slots = (features >> np.uint64(64 - SLOT_BITS)).astype(np.int32)
+    return np.unique(slots[keys[slots] == features])
+
+
 @dataclass(frozen=True)
 class Model:
     """keys[slot] is a feature, weights[slot] what it adds, ratios[slot] its log-count ratio."""
@@ -88,8 +94,9 @@ class Model:
     default: float | None
 
     def margin(self, features: np.ndarray) -> float:
-        slots = (features >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        slots = np.unique(slots[self.keys[slots] == features])
+        return self.margin_of(_slots(self.keys, features))
+
+    def margin_of(self, slots: np.ndarray) -> float:
         norm = float(np.sqrt((self.ratios[slots] ** 2).sum()))
         return (float(self.weights[slots].sum()) / norm if norm else 0.0) + self.bias
 
@@ -143,7 +150,7 @@ def logistic(margins: np.ndarray, labels: np.ndarray, rounds: int = 50) -> tuple
 
 
 def train(documents: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, smoothing: float = 1.0, least: int = 3, epochs: int = 20) -> Model:
-    """Fit to the distinct features of each document and its label, 0 or 1."""
+    """Fit to the distinct features of each document and its label, 0 or 1; the list of documents is emptied."""
     slots = 1 << SLOT_BITS
     empty = np.zeros(slots), np.zeros(slots)
     if not len(labels) or labels.min() == labels.max():
@@ -153,10 +160,9 @@ def train(documents: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, sm
     order = np.argsort(counts, kind="stable")
     keys = np.zeros(slots, np.uint64)
     keys[(found[order] >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = found[order]  # of a slot's features the commonest stays
-    index = []
-    for d in documents:
-        s = (d >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        index.append(np.unique(s[keys[s] == d]))
+    del found, counts, order
+    index = [_slots(keys, d) for d in documents]
+    documents.clear()
 
     def fit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         of = {c: np.bincount(np.concatenate([index[i] for i in rows if labels[i] == c] or [np.empty(0, np.int64)]), minlength=slots) + smoothing for c in (0, 1)}
@@ -177,7 +183,7 @@ def train(documents: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, sm
         inside, outside = everything[everything % 3 != k], everything[everything % 3 == k]
         if labels[inside].min() != labels[inside].max():
             part = model(*fit(inside))
-            margins[outside] = [part.margin(documents[i]) for i in outside]
+            margins[outside] = [part.margin_of(index[i]) for i in outside]
     seen = ~np.isnan(margins)
     slope, offset = logistic(margins[seen], labels[seen]) if seen.any() and labels[seen].min() != labels[seen].max() else (1.0, 0.0)
     return model(*fit(everything), slope, offset)
@@ -218,8 +224,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_column: s
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1).cast(pa.string()), batch.column(1).slice(i, 1).cast(pa.int32()), pa.array([packed], pa.binary())], ["id", "label", "features"])
 
     found = rows.mapInArrow(features, "id string, label int, features binary").toArrow().sort_by("id")
+    labels_found = np.array(found["label"].to_pylist(), np.int64)
     documents = [np.frombuffer(b, np.uint64) for b in found["features"].to_pylist()]
-    return train(documents, np.array(found["label"].to_pylist(), np.int64), **options)
+    del found
+    return train(documents, labels_found, **options)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
