@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import common, minhash, nbsvm, packing, quality_rules, substring_dedup
+from lodestone.llm import common, nbsvm, packing, quality_rules, simhash_sets, substring_dedup
 from lodestone.llm.queries import held_out, table, vocabulary
 
 
@@ -40,16 +40,16 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word similarity 0.8 or more.
 
-    Fingerprints of few bits tell that similarity only roughly; so candidates are
-    documents that meet in a table of least shingle hashes, and each link is the
-    exact similarity of the whole shingle sets, however long the texts. The row that
-    Spark reads first stays of a group, repeated rows and null ids included; null and
-    empty texts are one group; a similarity of exactly 0.8 links.
+    Candidates are documents whose SimHash fingerprints meet in a segment of a multi-index
+    and agree in most of further bits; each link is the exact similarity of the whole shingle
+    sets, however long the texts. The row that Spark reads first stays of a group, repeated
+    rows and null ids included; null and empty texts are one group; a similarity of exactly
+    0.8 links.
     """
-    row, node, sketch = (common.fresh(docs, stem=s) for s in ("__row", "__node", "__sketch"))
-    marked = minhash.marks(docs.withColumn(row, F.monotonically_increasing_id()), node=node, sketch=sketch)
+    row, node, entries, check = (common.fresh(docs, stem=s) for s in ("__row", "__node", "__entries", "__check"))
+    marked = simhash_sets.marks(docs.withColumn(row, F.monotonically_increasing_id()), node=node, entries=entries, check=check)
     marked = common.written(marked, "marked")
-    found = minhash.groups(marked, row, threshold=0.8, node=node, sketch=sketch)
+    found = simhash_sets.groups(marked, row, threshold=0.8, node=node, entries=entries, check=check)
     first = found.where(F.col(row) == F.col("component_id")).select(row)
     return marked.join(first, row, "left_semi").select(docs.columns)
 

@@ -121,6 +121,15 @@ def groups(marked: DataFrame, id_column: str, threshold: float = 0.8, width: int
     known = common.written(known.withColumn("node", F.monotonically_increasing_id()), "nodes")
     keys = F.array(*[F.xxhash64(F.lit(t), *[F.col("sketch")[t * ROWS + k] for k in range(ROWS)]) for t in range(TABLES)])
     clusters = linking.connected(known.select("node", F.explode(F.array_distinct(keys)).alias("key")), ["key"], known.select("node", "sketch"), "node", lambda: agree)
+    return within(marked, known, clusters, id_column, threshold, width, text, node)
+
+
+def within(marked: DataFrame, known: DataFrame, clusters: DataFrame, id_column: str, threshold: float, width: int = 5, text: str = "text", node: str = "node") -> DataFrame:
+    """(id, component_id) of each row of marked, linked by the exact similarity of whole sets within clusters.
+
+    known: set, node and __first, the least id of each different set, written. clusters: node and root of the
+    sets that may be similar to another.
+    """
     clusters = common.written(clusters, "clusters")
 
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -134,4 +143,5 @@ def groups(marked: DataFrame, id_column: str, threshold: float = 0.8, width: int
     named = known.join(roots, "node", "left").select("set", "__first", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("__first").alias("component_id"))
     classes = named.join(least, "root").select("set", "component_id")
+    codes = marked.select(F.col(id_column).alias("__id"), F.col(node).alias("set"))
     return codes.join(classes, "set").select(F.col("__id").alias(id_column), "component_id")
