@@ -43,13 +43,20 @@ def shared_dir(spark: SparkSession) -> str:
 _FOLDERS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def written(df: DataFrame, name: str = "step", instead_of: Iterable[DataFrame] = ()) -> DataFrame:
+#: Rows of numbers that a file of a table holds at least, once there are two files a core.
+FILE_ROWS = 50_000
+
+
+def written(df: DataFrame, name: str = "step", instead_of: Iterable[DataFrame] = (), rows: int | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
     Tables of earlier calls that only df was made from can be named in instead_of;
-    they are deleted once df is written.
+    they are deleted once df is written. rows: about how many df has at most; its partitions
+    are joined to as many files as they fill, for Hadoop's local files start two processes each.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(2 * spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)

@@ -154,6 +154,7 @@ def connected(rows: DataFrame, keys: list[str], payload: DataFrame, node: str, m
        compared with all nodes of the bucket, block by block. So no link is lost that
        would join two components.
     """
+    n = payload.count()
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
     shared = rows.join(counts, keys)
 
@@ -169,22 +170,22 @@ def connected(rows: DataFrame, keys: list[str], payload: DataFrame, node: str, m
         blocks = F.ceil(F.col("__n") / block).cast("int")
         own = F.pmod(F.xxhash64(node, F.lit(turn)), blocks).cast("int")
         dealt = some.select(*keys, own.alias("__i"), own.alias("__j"), own.alias("__own"), node).join(payload, node)
-        return common.written(each_group(dealt, keys, work, LINKS).select("node", "rep"), "links")
+        return common.written(each_group(dealt, keys, work, LINKS).select("node", "rep"), "links", rows=n)
 
     found = within(shared, 0)
-    large = common.written(shared.where(F.col("__n") > block), "large")
+    large = common.written(shared.where(F.col("__n") > block), "large", rows=n)
     if large.isEmpty():
-        return components(found, "node", "rep")
+        return components(found, "node", "rep", rows=n)
     for turn in range(1, rounds + 2):
-        roots = components(found, "node", "rep")
+        roots = components(found, "node", "rep", rows=n)
         marked = large.join(roots.withColumnRenamed("node", node), node, "left").withColumn("__class", F.coalesce("root", node)).drop("root")
         several = marked.groupBy(*keys).agg(F.min("__class").alias("a"), F.max("__class").alias("b")).where("a <> b").select(*keys)
-        marked = common.written(marked.join(several, keys, "left_semi"), "apart")
+        marked = common.written(marked.join(several, keys, "left_semi"), "apart", rows=n)
         if marked.isEmpty():
             return roots
         if turn <= rounds:
             more = within(marked, turn)
-            found = common.written(roots.select("node", F.col("root").alias("rep")).unionByName(more), "links", instead_of=[found, more])
+            found = common.written(roots.select("node", F.col("root").alias("rep")).unionByName(more), "links", instead_of=[found, more], rows=n)
     sizes = marked.groupBy(*keys, "__class").agg(F.count(F.lit(1)).alias("m"))
     sizes = sizes.groupBy(*keys).agg(F.max_by("__class", F.struct("m", "__class")).alias("__most"), (F.sum("m") - F.max("m")).alias("__few"))
     marked = marked.join(sizes, keys)
@@ -193,8 +194,8 @@ def connected(rows: DataFrame, keys: list[str], payload: DataFrame, node: str, m
     left_own, right_own = -2 - F.pmod(F.xxhash64(node, F.lit("few")), few).cast("int"), F.pmod(F.xxhash64(node, F.lit("all")), all_).cast("int")
     left = marked.where("__class <> __most").select(*keys, left_own.alias("__i"), F.explode(F.sequence(F.lit(0), all_ - 1)).alias("__j"), left_own.alias("__own"), node)
     right = marked.select(*keys, F.explode(F.sequence(F.lit(-2), -1 - few, F.lit(-1))).alias("__i"), right_own.alias("__j"), right_own.alias("__own"), node)
-    more = common.written(each_group(left.unionByName(right).join(payload, node), keys, work, LINKS).select("node", "rep"), "links")
-    return components(roots.select("node", F.col("root").alias("rep")).unionByName(more), "node", "rep")
+    more = common.written(each_group(left.unionByName(right).join(payload, node), keys, work, LINKS).select("node", "rep"), "links", rows=n)
+    return components(roots.select("node", F.col("root").alias("rep")).unionByName(more), "node", "rep", rows=n)
 
 
 def least_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +216,7 @@ def least_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         root = after
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, few: int = 15_000) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, few: int = 15_000, rows: int | None = None) -> DataFrame:
     """(node, root) for every node of the edges; root is one node of its component.
 
     Each round hooks every node to the neighbour (or itself) that a fresh hash
@@ -223,13 +224,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     of the nodes goes in a round, whatever the graph's shape. Rounds are written
     to the shared folder, so an executor's loss costs one round at most; a round's
     tables go when the next one's are there. A graph of at most `few` edges, as
-    contraction leaves it, is finished by one task.
+    contraction leaves it, is finished by one task. rows: about how many nodes there are at most.
     """
     def tidy(x: DataFrame) -> DataFrame:
         return x.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    left = common.written(tidy(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), "edges")
+    left = common.written(tidy(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), "edges", rows=rows)
     roots = None
+
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for x in batches if x.num_rows]
         if held:
@@ -240,30 +242,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         n = left.count()
         if not n:
             break
+        rows = rows or 2 * n
         if n <= few:
             hook = left.select("a", "b").coalesce(1).mapInArrow(finished, "v long, p long")
             if roots is None:
                 return common.written(hook.select(F.col("v").alias("node"), F.col("p").alias("root")), "roots", instead_of=[left])
             onward = roots.join(hook.select(F.col("v").alias("root"), "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
-            return common.written(onward, "roots", instead_of=[left, roots])
+            return common.written(onward, "roots", instead_of=[left, roots], rows=rows)
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))
         first = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("v"), F.least(rank("a"), F.col("m")).alias("p")).select("v", F.col("p.v").alias("p"))
-        first = common.written(first, "hooks")
+        first = common.written(first, "hooks", rows=2 * n)
         hook = first
         for _ in range(2):
             onward = hook.select(F.col("v").alias("p"), F.col("p").alias("q"))
             hook = hook.join(onward, "p").select("v", F.col("q").alias("p"))
-        hook = common.written(hook, "hooks", instead_of=[first])
+        hook = common.written(hook, "hooks", instead_of=[first], rows=2 * n)
         ends = left.join(hook.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(hook.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
-        left = common.written(tidy(ends.select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges", instead_of=[left])
+        left = common.written(tidy(ends.select(F.col("pa").alias("a"), F.col("pb").alias("b"))), "edges", instead_of=[left], rows=n)
         step = hook.select(F.col("v").alias("root"), "p")
         if roots is None:
             roots = hook.select(F.col("v").alias("node"), F.col("p").alias("root"))
-            roots = common.written(roots, "roots", instead_of=[hook])
+            roots = common.written(roots, "roots", instead_of=[hook], rows=2 * n)
         else:
             onward = roots.join(step, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
-            roots = common.written(onward, "roots", instead_of=[hook, roots])
+            roots = common.written(onward, "roots", instead_of=[hook, roots], rows=rows)
     else:
         raise RuntimeError("the components did not settle")
     if roots is None:

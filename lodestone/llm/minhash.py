@@ -130,7 +130,7 @@ def within(marked: DataFrame, known: DataFrame, clusters: DataFrame, id_column:
     known: set, node and __first, the least id of each different set, written. clusters: node and root of the
     sets that may be similar to another.
     """
-    clusters = common.written(clusters, "clusters")
+    clusters = common.written(clusters, "clusters", rows=known.count())
 
     def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:

@@ -174,12 +174,13 @@ def groups(marked: DataFrame, id_column: str, threshold: float = 0.8, width: int
     """
     codes = marked.select(F.col(id_column).alias("__id"), F.col(node).alias("set"), F.col(entries).alias("entries"), F.col(check).alias("lanes"))
     known = codes.groupBy("set").agg(F.min("__id").alias("__first"), F.first("entries").alias("entries"), F.first("lanes").alias("lanes"))
-    known = common.written(known.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    n = marked.count()
+    known = common.written(known.withColumn("node", F.monotonically_increasing_id()), "nodes", rows=n)
     rows = known.select(F.explode(F.col("entries").cast("array<long>")).alias("key"), "node", F.col("lanes")[0].alias("lane0"), F.col("lanes")[1].alias("lane1"))
-    found = common.written(meetings(rows, MOST, block), "meetings")
+    found = common.written(meetings(rows, MOST, block), "meetings", rows=n)
     clusters = found.where("rep is not null").select("node", "rep")
     large = found.where("key is not null").select("key", "node")
     if not large.isEmpty():
         more = linking.connected(large, ["key"], known.select("node", "lanes"), "node", lambda: simhash._kernel(MOST))
         clusters = clusters.unionByName(more.withColumnRenamed("root", "rep"))
-    return minhash.within(marked, known, linking.components(clusters, "node", "rep"), id_column, threshold, width, text, node)
+    return minhash.within(marked, known, linking.components(clusters, "node", "rep", rows=n), id_column, threshold, width, text, node)
