@@ -120,7 +120,7 @@ def components_of(marked: DataFrame, id_column: str = "doc_id", most_bits: int =
     neighbours = neighbours or ([True, False] if lanes == 1 and most_bits <= 2 else [True] * (2 * lanes))
     marked = common.written(marked.select(id_column, "lanes"), "fingerprints")
     known = marked.groupBy("lanes").agg(F.min(id_column).alias("__first"))
-    known = common.written(known.select("lanes", "__first", F.monotonically_increasing_id().alias("node") if lanes > 1 else F.col("lanes")[0].alias("node")), "nodes")
+    known = common.written(known.select("lanes", "__first", F.monotonically_increasing_id().alias("node") if lanes > 1 else F.col("lanes")[0].alias("node")), "nodes", rows=marked.count())
     probes = F.concat(*[_probes(_segment("lanes", s), s, near) for s, near in enumerate(neighbours)])
     rows = known.select("node", F.explode(probes).alias("key"))
     roots = linking.connected(rows, ["key"], known.select("node", "lanes"), "node", lambda: _kernel(most_bits))
