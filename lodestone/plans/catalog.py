@@ -148,9 +148,12 @@ def knn_graph(spark, sf):
 
 
 def exact_graph(spark: SparkSession, sf: str, degree: int = 8) -> DataFrame:
+    """(vec_id, nbrs), written and read back: its all-pairs search runs once, however often a plan names it."""
     base = embeddings(spark, sf)
     near = knn.exact_knn(base.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv")), base, degree, skip_self=True)
-    return near.groupBy(F.col("qid").alias("vec_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda s: s["vec_id"]).alias("nbrs"))
+    path = scratch(spark, "exact-graph")
+    near.groupBy(F.col("qid").alias("vec_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda s: s["vec_id"]).alias("nbrs")).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 _GRAPH = """, g as (select vec_id, nbr from (select a.vec_id, b.vec_id as nbr, row_number() over (partition by a.vec_id order by list_sum(list_transform(range(1, len(a.e) + 1), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))), b.vec_id) as rank from v a, v b where a.vec_id <> b.vec_id) where rank <= 8)"""
@@ -479,13 +482,15 @@ def _recall_row(found: DataFrame, truth: DataFrame, queries: DataFrame, least: f
     truth: (qid, rank, vec_id, dist) of the exact search. full: queries with as many rows
     as the truth; rows_held: rows that are twice or of no true distance are none.
     """
-    both = found.select("qid", "vec_id", F.round("dist", 6).alias("dist")).join(truth.select("qid", "vec_id", F.round("dist", 6).alias("near")), ["qid", "vec_id"], "left")
-    hits = both.agg(F.count("near").alias("hits"), F.sum((F.abs(F.col("near") - F.col("dist")) > 1e-5).cast("long")).alias("odd"), (F.count(F.lit(1)) - F.count_distinct("qid", "vec_id")).alias("twice"))
-    sizes = truth.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).join(found.groupBy("qid").agg(F.count(F.lit(1)).alias("m")), "qid", "left")
-    full = sizes.agg(F.sum((F.coalesce("m", F.lit(0)) == F.col("n")).cast("long")).alias("full"), F.sum("n").alias("wanted"))
+    known = truth.select("qid", "vec_id", F.round("dist", 6).alias("near"), F.lit(None).cast("double").alias("dist"))
+    both = known.unionByName(found.select("qid", "vec_id", F.lit(None).cast("double").alias("near"), F.round("dist", 6).alias("dist")))
+    # collect_list leaves nulls out: the distances that were found, once for each time
+    pairs = both.groupBy("qid", "vec_id").agg(F.max("near").alias("near"), F.collect_list("dist").alias("found"))
+    m, odd = F.size("found"), F.size(F.filter("found", lambda d: F.abs(F.col("near") - d) > 1e-5))
+    each = pairs.groupBy("qid").agg(F.count("near").alias("n"), F.sum(m).alias("m"), F.sum(F.when(F.col("near").isNotNull(), m)).alias("hits"), F.sum(F.coalesce(odd, F.lit(0)) + F.greatest(m - 1, F.lit(0))).alias("odd"))
+    sums = each.agg(F.sum(F.when(F.col("n") > 0, (F.col("m") == F.col("n")).cast("long"))).alias("full"), F.sum("n").alias("wanted"), F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.coalesce(F.sum("odd"), F.lit(0)).alias("odd_rows"))
     asked_ = queries.agg(F.count(F.lit(1)).alias("n_queries"))
-    joined = asked_.crossJoin(full).crossJoin(hits)
-    return joined.select("n_queries", "full", (F.coalesce("odd", F.lit(0)) + F.col("twice")).alias("odd_rows"), (F.col("hits") >= least * F.col("wanted")).alias("recall_reached"))
+    return asked_.crossJoin(sums).select("n_queries", "full", "odd_rows", (F.col("hits") >= least * F.col("wanted")).alias("recall_reached"))
 
 
 _SEARCH = "select count(*) as n_queries, count(*) as full, 0::bigint as odd_rows, true as recall_reached from q"

@@ -48,3 +48,17 @@ def test_grid_of_blocks(spark, small_dir, monkeypatch):
     assert [sorted(map(tuple, s().collect())) for s in searches] == whole and len(whole[0]) == 300
     tiles = knn._meeting(q, base, lambda qids, x, bounds: knn._Nearest(qids, x, "l2", 5, False))
     assert tiles.rdd.getNumPartitions() == 3 * 8  # no task has more than a block of each
+
+
+def test_exact_graph_is_searched_once(spark, small_dir):
+    """Plans that name the graph several times read it back instead of comparing all pairs again."""
+    plans = [catalog.queries()[n](spark, small_dir)._jdf.queryExecution().optimizedPlan().toString() for n in ("edge_repair", "shard_union_cap", "khop_expand")]
+    assert all("MapInArrow" not in p and "FlatMapCoGroups" not in p for p in plans)
+
+
+def test_recall_row_searches_once(spark, small_dir):
+    """Found rows and truth are each read once."""
+    base = catalog.embeddings(spark, small_dir)
+    truth = knn.exact_knn(catalog.asked(base), base, 10)
+    plan = catalog._recall_row(truth, truth, catalog.asked(base), 0.95)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
