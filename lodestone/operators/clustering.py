@@ -34,13 +34,14 @@ def nearest(x: np.ndarray, centers: np.ndarray, k: int) -> tuple[np.ndarray, np.
     k = min(k, len(centers))
     few = min(k + 4, len(centers))
     found, dist = np.empty((len(x), k), np.int64), np.empty((len(x), k))
-    for at in range(0, len(x), 4096):
-        y = x[at : at + 4096]
+    step = max(1, min(4096, (1 << 21) // len(centers)))
+    for at in range(0, len(x), step):
+        y = x[at : at + step]
         rough = vectors.METRICS["l2"][1](y, centers)
         near = np.sort(np.argpartition(rough, few - 1, 1)[:, :few], 1) if few < len(centers) else np.tile(np.arange(few), (len(y), 1))
         d = np.stack([((y - centers[near[:, j]]) ** 2).sum(1) for j in range(few)], 1)
         order = np.argsort(d, 1, kind="stable")[:, :k]
-        found[at : at + 4096], dist[at : at + 4096] = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
+        found[at : at + step], dist[at : at + step] = np.take_along_axis(near, order, 1), np.take_along_axis(d, order, 1)
     return found, dist
 
 
@@ -144,25 +145,97 @@ def kmeans_of(x: np.ndarray, k: int, rounds: int = 20, seed: int = 7, tolerance:
     return centers
 
 
-def partition(base: DataFrame, most_rows: int, overlap: int = 2, start: int = 3, seed: int = 7, sample: int = 100_000, centers: np.ndarray | None = None) -> tuple[DataFrame, np.ndarray]:
+def fitted(x: np.ndarray, k: int, seed: int = 7, most: int = 64) -> np.ndarray:
+    """k centers of rows in memory; more than `most` in two steps, each coarse cluster by its share of the rows."""
+    if not len(x):
+        return np.zeros((k, x.shape[1] or 1))
+    if k <= most or len(x) <= most:
+        centers = kmeans_of(x, k, seed=seed)
+    else:
+        coarse = math.ceil(math.sqrt(k))
+        cell = nearest(x, kmeans_of(x, coarse, seed=seed), 1)[0][:, 0]
+        sizes = np.bincount(cell, minlength=coarse)
+        share = np.diff(np.floor(np.cumsum(sizes) * (k / len(x)) + 0.5).astype(int), prepend=0)
+        centers = np.concatenate([fitted(x[cell == i], int(n), seed, most) for i, n in enumerate(share) if n])
+    # fewer rows than centers: some are there more than once
+    return centers[np.arange(k) % len(centers)]
+
+
+def _dealt(ids: np.ndarray, found: np.ndarray, inverse: np.ndarray, copies: list[np.ndarray], k: int) -> np.ndarray:
+    """Of each row's nearest different centers (found), the first k shards: those of one center in an order by a hash of the id."""
+    h = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+    out = np.empty((len(ids), k), np.int64)
+    filled = np.zeros(len(ids), np.int64)
+    sizes = np.array([len(c) for c in copies])
+    table = np.full((len(copies), sizes.max()), -1, np.int64)
+    for i, c in enumerate(copies):
+        table[i, : len(c)] = c
+    for column in found.T:
+        n = sizes[column]
+        for step in range(k):
+            rows = np.flatnonzero((step < n) & (filled < k))
+            if not len(rows):
+                break
+            out[rows, filled[rows]] = table[column[rows], (h[rows].astype(np.int64) + step) % n[rows]]
+            filled[rows] += 1
+    return out
+
+
+def placed(base: DataFrame, centers: np.ndarray, overlap: int) -> DataFrame:
+    """base's columns and shard: each row in the shards of its `overlap` nearest centers, or in all there are.
+
+    Rows as near to several equal centers are dealt to these by a hash of the id, so
+    copies of one vector fill no shard beyond its bound.
+    """
+    overlap = min(overlap, len(centers))
+    different, inverse = np.unique(np.asarray(centers, np.float64), axis=0, return_inverse=True)
+    copies = [np.flatnonzero(inverse.ravel() == i) for i in range(len(different))] if len(different) < len(centers) else [np.array([i]) for i in np.argsort(inverse.ravel())]
+    shared = base.sparkSession.sparkContext.broadcast((different, inverse, copies))
+    at_id, at_vector = base.columns.index("vec_id"), base.columns.index("embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        different, inverse, copies = shared.value
+        for batch in batches:
+            at, x = vectors_of(batch.column(at_vector), different.shape[1])
+            found = nearest(x, different, overlap)[0]
+            shards = _dealt(batch.column(at_id).to_numpy()[at], found, inverse, copies, overlap) if len(at) else np.zeros((0, overlap), np.int64)
+            row = pa.array(np.repeat(at, overlap))
+            yield pa.RecordBatch.from_arrays([*(column.take(row) for column in batch.columns), pa.array(shards.ravel(), pa.int32())], [*batch.schema.names, "shard"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema)
+    return base.mapInArrow(run, f"{kinds}, shard int")
+
+
+def partition(
+    base: DataFrame, most_rows: int, overlap: int = 2, start: int = 3, seed: int = 7, sample: int = 100_000, centers: np.ndarray | None = None, alone: bool = True,
+) -> tuple[DataFrame, np.ndarray]:
     """(base's columns and shard; the shards' centers): each row in its `overlap` nearest shards, more shards until each fits.
 
+    A base that fits one shard is one, if it may be alone; else it has `start` shards, or
+    `overlap` of all rows.
+
     Centers are fitted to a bounded sample, 32 rows for a shard at least; sizes are
-    counted over all rows.
+    counted over all rows. A shard that is too large gets more centers, fitted to a
+    sample of its rows; the others stay, so they only shrink.
     """
     if centers is not None:
-        near = nearest_centers(base, centers, overlap if len(centers) > 1 else 1)
-        return near.withColumn("shard", F.col("center").cast("int")).drop("rank", "center", "dist"), centers
+        return placed(base, centers, overlap), centers
     total = base.count()
-    shards = max(start, math.ceil(overlap * total / most_rows)) if total > most_rows else 1
-    while True:
-        x = sampled(base, max(sample, 32 * shards), seed)
-        centers = kmeans_of(x, shards, seed=seed) if len(x) else np.zeros((1, 1))
-        near = nearest_centers(base, centers, overlap if shards > 1 else 1)
-        largest = near.groupBy("center").count().agg(F.max("count")).first()[0] or 0 if shards > 1 else total
-        if largest <= most_rows or shards >= total:
-            return near.withColumn("shard", F.col("center").cast("int")).drop("rank", "center", "dist"), centers
-        shards = max(shards + 1, math.ceil(shards * min(largest / most_rows, 2)))
+    shards = max(start, math.ceil(overlap * total / most_rows)) if total > most_rows else 1 if alone else overlap
+    centers = fitted(sampled(base, max(sample, 32 * shards), seed), shards, seed)
+    while overlap < len(centers) < 4 * overlap * total:
+        sizes = placed(base.select("vec_id", "embedding"), centers, overlap).groupBy("shard").count().where(F.col("count") > most_rows)
+        large = {r["shard"]: r["count"] for r in sizes.collect()}  # at most one row for a shard
+        if not large:
+            break
+        # as many rows as the first fit had at most, by a hash of the id
+        share = min(1.0, max(sample, 32 * len(centers)) / sum(large.values()))
+        some = base.select("vec_id", "embedding").where(F.pmod(F.xxhash64("vec_id", F.lit(seed + len(centers))), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+        rows = placed(some, centers, overlap).where(F.col("shard").isin(list(large))).select("shard", "embedding").toArrow()
+        x, shard = matrix(rows["embedding"]), rows["shard"].to_numpy()
+        more = [fitted(x[shard == i] if (shard == i).any() else centers[i : i + 1], max(1, math.ceil(1.25 * n / most_rows) - 1), seed) for i, n in sorted(large.items())]
+        centers = np.concatenate([centers, *more])
+    return placed(base, centers, overlap), centers
 
 
 def memory_estimate(rows: int, dimension: int, bytes_each: int, degree: int, slack: float = 1.3) -> float:

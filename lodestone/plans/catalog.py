@@ -217,12 +217,10 @@ def cluster_sizes(spark, sf):
 
 @query("kmeans_partition", "select count(*) as n, count(distinct vec_id) as n_ids, 2::bigint as least_shards, 2::bigint as most_shards, true as within_bound from embeddings, (select unnest(range(0, 2)))")
 def kmeans_partition(spark, sf):
-    """Every row in exactly two shards of at most 300 rows (or all rows there are, over 300)."""
+    """Every row in exactly two shards of at most 300 rows."""
     base = embeddings(spark, sf)
-    parts, centers = clustering.partition(base, most_rows=300)
+    parts, _ = clustering.partition(base, most_rows=300, alone=False)
     each = parts.groupBy("vec_id").agg(F.count_distinct("shard").alias("s"), F.count(F.lit(1)).alias("m"))
-    if len(centers) == 1:  # a base that fits one shard is one
-        each = each.select("vec_id", (F.col("s") + 1).alias("s"), (F.col("m") + 1).alias("m"))
     sums = each.agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("n_ids"), F.min("s").alias("least_shards"), F.max("s").alias("most_shards"))
     largest = parts.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") <= 300).alias("within_bound"))
     return sums.crossJoin(largest)
